@@ -3,7 +3,7 @@
 DuckDB runs inside each Arrow partition and its SQL does the work: regular expressions find and delete, translate maps
 characters with one replacement, replace those with several, nfc_normalize composes. Which characters are compatibility
 forms is a rule (the full compatibility decomposition differs from the canonical one), not a list, so the result agrees
-with Unicode NFKC. A batch without non-ASCII text is passed through; replacements are only spelled out in the SQL for
+with Unicode NFKC. A text of frequent characters that are their own form is passed through; replacements are only spelled out in the SQL for
 characters that occur in the batch.
 
 The form: invisible characters removed; compatibility characters and accents as in NFKC; every space separator a plain
@@ -13,6 +13,7 @@ Latin ones made Latin where the same run of letters also has a Latin letter. The
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -50,6 +51,21 @@ def compatibility_class() -> str:
     return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges)
 
 
+@cache
+def _unchanged_class() -> str:
+    """Frequent characters that are their own form and don't combine, as the inside of a regular-expression class."""
+    invisible = re.compile("[" + re.sub(r"\\x\{(\w+)\}", r"\\u\1", INVISIBLE) + "]")
+    codes = [
+        code
+        for code in [*range(0x80, 0x400), *range(0x2010, 0x2028)]
+        if unicodedata.normalize("NFKC", char := chr(code)) == char
+        and unicodedata.category(char)[0] not in "MZC"
+        and char not in LOOKALIKE + HYPHENS
+        and not invisible.match(char)
+    ]
+    return r"\x00-\x7F" + "".join(rf"\x{{{code:X}}}" for code in codes)
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -80,7 +96,7 @@ class ConsistentForm:
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "512MB"})
 
     def __call__(self, texts: pa.Array) -> pa.Array:
-        odd = pc.match_substring_regex(texts, "[^\\x00-\\x7F]")
+        odd = pc.match_substring_regex(texts, f"[^{_unchanged_class()}]")
         if not pc.any(odd).as_py():
             return texts
         where = pc.indices_nonzero(pc.fill_null(odd, False))
@@ -141,10 +157,4 @@ def words_of(text: str) -> list[str]:
     return _WORD(text.lower())
 
 
-def _word_finder() -> Callable[[str], list[str]]:
-    import re
-
-    return re.compile(r"[^\W_]+").findall
-
-
-_WORD = _word_finder()
+_WORD: Callable[[str], list[str]] = re.compile(r"[^\W_]+").findall

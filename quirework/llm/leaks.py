@@ -23,7 +23,7 @@ from .consistent import ConsistentForm, words_of
 
 #: Characters of items in one broadcast index; more items are taken in further blocks.
 CHARS_PER_BLOCK = 8_000_000
-WALKS, SAMPLES, BITS = 4, 6, 5
+WALKS, SAMPLES, BITS = 4, 3, 12
 
 
 @dataclass
@@ -132,10 +132,11 @@ def _match(index: _Index, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.
             if n.any():
                 left = np.repeat(np.arange(len(mine)), n)
                 right = r[np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
-                pairs.append(np.unique(left * len(index.passages) + right))
+                pairs.append(left * len(index.passages) + right)
     if not pairs:
         return none
-    pair = np.unique(np.concatenate(pairs))
+    pair = np.sort(np.concatenate(pairs))
+    pair = pair[np.r_[True, pair[1:] != pair[:-1]]]
     left, right = np.divmod(pair, len(index.passages))
     far = _edit_distances(distinct[left], index.passages[right], index.edits)
     near = far <= index.edits
@@ -161,7 +162,7 @@ def _match(index: _Index, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def find_leaks(
-    docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, window: int = 13, edits: int = 2, chars_per_block: int = CHARS_PER_BLOCK
+    docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, window: int = 13, edits: int = 1, chars_per_block: int = CHARS_PER_BLOCK
 ) -> DataFrame:
     """One row for each document row and item that share a passage: doc_id, item_id, edits, n_windows.
 

@@ -9,7 +9,7 @@ from .leaks import find_leaks
 
 
 def p6_leaks(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents and the items they hold, exactly or with up to two edited words in thirteen."""
+    """Documents and the items they hold, exactly or with one edited word in thirteen."""
     return find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"), "doc_id", "text", "item_id", "item_text")
 
 
