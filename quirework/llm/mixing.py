@@ -69,7 +69,8 @@ def landing(chances: list[float], tokens: list[float], rng: random.Random) -> li
 
 def _blocks(seed: int, level: int, last: bool):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("__order", "ascending"), ("n_tokens", "ascending")])
+        # Long documents first: those still open at the end, whose tokens the landing gives up, are then short ones.
+        table = table.sort_by([("n_tokens", "descending"), ("__order", "ascending")])
         key = f"{seed}|{level}|{table['source'][0]}|{table['__block'][0]}"
         rng = random.Random(int.from_bytes(hashlib.sha256(key.encode()).digest()[:8], "big"))
         tokens = [float(x) for x in table["n_tokens"].to_pylist()]
