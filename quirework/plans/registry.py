@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import orphan_queries
+from . import orphan_queries, rank_queries
 
-_MODULES = [orphan_queries]
+_MODULES = [orphan_queries, rank_queries]
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: text for module in _MODULES for name, text in module.SQL.items()}
-FLAGSHIP = "p1_found"
+FLAGSHIP = "bm25_topk"
