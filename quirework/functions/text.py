@@ -21,6 +21,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def stripped(text: Column | str) -> Column:
+    """Without white space, as Unicode has it, around it."""
+    return F.regexp_replace(_c(text), r"(?U)^\s+|\s+$", "")
+
+
 def terms(text: Column | str) -> Column:
     """Array of terms, in order: runs of [a-z0-9] in lower case, of two characters or more, no stop words. Null: empty."""
     runs = F.regexp_extract_all(F.lower(F.coalesce(_c(text), F.lit(""))), F.lit("([a-z0-9]{2,})"), 1)
