@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import orphan_queries, rank_queries
+from . import corpus_queries, entity_queries, orphan_queries, rank_queries, select_queries
 
-_MODULES = [orphan_queries, rank_queries]
+_MODULES = [orphan_queries, rank_queries, corpus_queries, entity_queries, select_queries]
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: text for module in _MODULES for name, text in module.SQL.items()}
 FLAGSHIP = "bm25_topk"
