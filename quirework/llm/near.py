@@ -181,29 +181,3 @@ def expand_pairs(classes: DataFrame, pairs: DataFrame) -> DataFrame:
     within = one.join(two, F.col("ca") == F.col("cb")).select("a", "b")
     across = pairs.select(F.col("a").alias("ca"), F.col("b").alias("cb")).join(one, "ca").join(two, "cb").select("a", "b")
     return within.where("a < b").unionByName(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b")).distinct()
-
-
-def components(nodes: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
-    """node, component: the least node that each can reach. nodes: node; edges: a, b.
-
-    Large-star and small-star steps alternate (Kiveris and others): each joins every node's neighbours to the least of them,
-    and the edges become stars in a logarithmic number of rounds. Only edges are shuffled, none are gathered.
-    """
-    links = cut(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").distinct())
-    before = None
-    for _ in range(most):
-        for large in (True, False):
-            both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            near = both if large else both.where("v <= u")
-            least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-            # Large star: neighbours above the node; small star: those below it and itself.
-            joined = near.join(least, "u")
-            out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")) if large else joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-            links = cut(out.where("u <> v").distinct())
-        state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-    else:
-        raise RuntimeError(f"no end after {most} rounds")
-    return nodes.join(links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")), "node", "left").select("node", F.coalesce(F.least("node", "m"), "node").alias("component"))

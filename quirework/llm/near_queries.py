@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.graph import components
 from ..sources.tables import table
-from .near import components, expand_pairs, near_duplicates
+from .near import expand_pairs, near_duplicates
 
 #: As the statement of the problem has them.
 _WORDS, _THRESHOLD = 3, 0.55
