@@ -69,7 +69,7 @@ def parse_quality(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "documents").where("paper_id is not null").select("paper_id", "text", "section_kind")
     refs = table(spark, folder, "bib_entries").groupBy(F.col("citing_paper_id").alias("paper_id")).agg(F.count("*").alias("n"))
     captions_ = table(spark, folder, "objects").groupBy("paper_id").agg(F.count("caption").alias("n"))
-    return C.quality(pages, "paper_id", "text", refs, captions_, pages.where("section_kind = 'references'").select("paper_id"))
+    return C.quality(pages, "paper_id", "text", refs, captions_, pages.where("section_kind = 'references'").select("paper_id")).withColumn("warnings", F.array_join("warnings", ","))
 
 
 def acronym_definitions(spark: SparkSession, folder: str) -> DataFrame:
@@ -109,7 +109,7 @@ SQL = {
         r AS (SELECT citing_paper_id AS paper_id, count(*) AS n FROM bib_entries GROUP BY ALL), c AS (SELECT paper_id, count(caption) AS n FROM objects GROUP BY ALL),
         j AS (SELECT p.*, coalesce(r.n, 0) AS n_references, coalesce(c.n, 0) AS n_captions FROM p LEFT JOIN r USING (paper_id) LEFT JOIN c USING (paper_id)),
         w AS (SELECT *, n_references = 0 AS none, page_count >= 6 AND n_references < 5 AS few, markers >= 10 AND n_references < 0.3 * markers AS low, NOT headed AND markers >= 10 AS headless FROM j)
-        SELECT paper_id, page_count, markers, n_references, n_captions, list_filter([CASE WHEN none THEN 'zero_references' WHEN few THEN 'few_references_for_paper_length' END, CASE WHEN low THEN 'reference_count_low_vs_citation_markers' END, CASE WHEN headless THEN 'no_references_section_detected' END, CASE WHEN n_captions = 0 THEN 'zero_captions' END, CASE WHEN empty_pages > 0 THEN 'empty_text_pages' END], lambda x: x IS NOT NULL) AS warnings,
+        SELECT paper_id, page_count, markers::BIGINT AS markers, n_references, n_captions, array_to_string(list_filter([CASE WHEN none THEN 'zero_references' WHEN few THEN 'few_references_for_paper_length' END, CASE WHEN low THEN 'reference_count_low_vs_citation_markers' END, CASE WHEN headless THEN 'no_references_section_detected' END, CASE WHEN n_captions = 0 THEN 'zero_captions' END, CASE WHEN empty_pages > 0 THEN 'empty_text_pages' END], lambda x: x IS NOT NULL), ',') AS warnings,
                CASE WHEN none OR few OR low OR headless THEN 'suspicious' ELSE 'plausible' END AS reference_quality FROM w""",
     "reference_list": r"""WITH e AS (SELECT citing_paper_id, row_number() OVER (PARTITION BY citing_paper_id ORDER BY entry_id) AS index, trim(regexp_replace(text, '\s+', ' ', 'g')) AS raw, count(*) OVER (PARTITION BY citing_paper_id) AS n FROM bib_entries WHERE text IS NOT NULL)
         SELECT citing_paper_id, index, CASE WHEN n = 1 THEN '[1] ' || raw ELSE raw END AS raw FROM e""",

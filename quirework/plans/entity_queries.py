@@ -98,11 +98,13 @@ def paper_relations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def relations_forward(spark: SparkSession, folder: str) -> DataFrame:
-    return N.neighbours_of(_relations(spark, folder), "source_paper_id", "target_paper_id")
+    out = N.neighbours_of(_relations(spark, folder), "source_paper_id", "target_paper_id")
+    return out.withColumn("neighbours", F.array_join("neighbours", ","))
 
 
 def relations_reverse(spark: SparkSession, folder: str) -> DataFrame:
-    return N.neighbours_of(_relations(spark, folder), "target_paper_id", "source_paper_id")
+    out = N.neighbours_of(_relations(spark, folder), "target_paper_id", "source_paper_id")
+    return out.withColumn("neighbours", F.array_join("neighbours", ","))
 
 
 QUERIES = {f.__name__: f for f in (pool_first, title_index, title_lookup, acronym_lookup, initials_match, alias_definitions, recurring_names, alias_scope, alias_resolve, paper_mentions, resolver_cascade, paper_relations, relations_forward, relations_reverse)}
@@ -140,7 +142,7 @@ _RESOLVE = f"""{_POOL}, {_KEYS}, {_ALIASES}, {_MENTIONS}, names AS (SELECT DISTI
         UNION ALL SELECT mention, target, 0.6, 'words' FROM by_words),
     edges AS (SELECT paper_id || ':compares_against:' || (row_number() OVER (PARTITION BY paper_id ORDER BY mention_key) - 1) AS relation_id, paper_id AS source_paper_id, CASE WHEN target <> paper_id THEN target END AS target_paper_id, mention, source_type,
         CASE WHEN target <> paper_id THEN confidence ELSE 0 END AS confidence, CASE WHEN target <> paper_id THEN 'resolved' ELSE 'nil' END AS resolution_status FROM mentions LEFT JOIN resolved USING (mention))"""
-_ENDS = "f AS (SELECT {a}, {b}, min(relation_id) AS first FROM edges WHERE target_paper_id IS NOT NULL GROUP BY ALL) SELECT {a}, count(*) AS n, list({b} ORDER BY first, {b}) AS neighbours FROM f GROUP BY {a}"
+_ENDS = "f AS (SELECT {a}, {b}, min(relation_id) AS first FROM edges WHERE target_paper_id IS NOT NULL GROUP BY ALL) SELECT {a}, count(*) AS n, string_agg({b}, ',' ORDER BY first, {b}) AS neighbours FROM f GROUP BY {a}"
 _INITIALS = "upper(array_to_string(list_transform(string_split(p_name, ' '), lambda w: w[1]), ''))"
 SQL = {
     "pool_first": "SELECT paper_id, min(row_id) AS row_id, min_by({x: title}, row_id).x AS title, coalesce(min_by({x: abstract}, row_id).x, '') AS abstract, lower(min_by({x: venue}, row_id).x) AS venue, min_by({x: year}, row_id).x AS year, coalesce(len(min_by({x: authors}, row_id).x), 0) AS n_authors FROM papers WHERE paper_id IS NOT NULL GROUP BY paper_id",
