@@ -40,6 +40,14 @@ def test_pairs_against_brute_force(spark, n, threshold):
         assert r["overlap"] == len(a & b) and r["similarity"] == pytest.approx(len(a & b) / len(a | b))
 
 
+def test_a_key_with_two_contents(spark):
+    w = [f"w{i}" for i in range(40)]
+    one, two = " ".join(w[:20]), " ".join(w[20:])
+    df = spark.createDataFrame([("a", one), ("a", two), ("b", one), ("c", two)], "paper string, title string")
+    got = expand_pairs(*near_duplicates(df, "paper", ["title"]))
+    assert {(r["a"], r["b"]) for r in got.collect()} == {("a", "b"), ("a", "c")}
+
+
 def test_nothing(spark):
     df = spark.createDataFrame([], "paper string, title string, abstract string")
     classes, pairs = near_duplicates(df, "paper", ["title", "abstract"])
