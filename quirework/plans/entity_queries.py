@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..cluster import cut
 from ..operators import entities as N
 from ..sources.pool import load_pool
 from ..sources.tables import table
@@ -85,7 +86,7 @@ def paper_mentions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _relations(spark: SparkSession, folder: str) -> DataFrame:
-    found = _mentions(spark, folder)
+    found = cut(_mentions(spark, folder))
     return N.relations(found, N.resolve_mentions(found, _pool(spark, folder)))
 
 
