@@ -1,7 +1,7 @@
 """Finds passages of held-out evaluation items in a corpus.
 
 The passages are the windows of `window` consecutive words of each item, the candidates all windows of that length of
-each document. A random walk over the words of a window (the embedding of Chakraborty, Goldenberg and Koucky) turns edit
+each document, and of up to `edits` words fewer or more, as words may be left out or put in. A random walk over the words of a window (the embedding of Chakraborty, Goldenberg and Koucky) turns edit
 distance between windows into Hamming distance between walks. Keys of a few sampled positions of the walk find candidate
 pairs, repeated often enough for the recall wanted; the exact edit distance decides. Equal windows have equal walks, so
 passages without an edit are found always, those with `edits` edits with probability (see tests) over 0.9.
@@ -90,37 +90,26 @@ def build_index(items: list[tuple[int, str]], window: int, edits: int, seed: int
 
 def _edit_distances(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     """Word edit distances of the rows of a and b, exact up to `most`, else above it."""
-    n, w = a.shape
+    (n, w), v = a.shape, b.shape[1]
     big = most + 1
-    row = np.full((w + 1, n), big, np.int16)
-    row[: most + 1] = np.arange(most + 1, dtype=np.int16)[:, None]
+    row = np.full((v + 1, n), big, np.int16)
+    row[: most + 1] = np.arange(min(most, v) + 1, dtype=np.int16)[:, None]
     for i in range(1, w + 1):
-        new = np.full((w + 1, n), big, np.int16)
+        new = np.full((v + 1, n), big, np.int16)
         if i <= most:
             new[0] = i
-        for j in range(max(1, i - most), min(w, i + most) + 1):
+        for j in range(max(1, i - most), min(v, i + most) + 1):
             new[j] = np.minimum(np.minimum(row[j], new[j - 1]) + 1, row[j - 1] + (a[:, i - 1] != b[:, j - 1]))
         row = np.minimum(new, big)
-    return row[w]
+    return row[v]
 
 
-def _match(index: _Index, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Number of the text, item, least edit distance of a window, number of windows; one row a text and item."""
-    get, other, w = index.words.get, len(index.words), index.window
-    lists = [words_of(t) for t in texts]
-    sizes = np.array([len(x) for x in lists], np.int64)
-    total = int(sizes.sum())
-    none = (np.empty(0, np.int64),) * 4
-    if total < w or not len(index.passages):
-        return none
-    ids = np.fromiter((get(x, other) for words in lists for x in words), np.int32, total)
-    text_of = np.repeat(np.arange(len(texts)), sizes)
-    known = np.r_[0, np.cumsum(ids != other)]
-    # A window within `edits` edits of a passage has at most so many words that are in no item.
-    starts = np.flatnonzero((known[w:] - known[:-w] >= w - index.edits) & (text_of[: total - w + 1] == text_of[w - 1 :]))
+def _near(index: _Index, ids: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, item and edit distance of the windows of `size` words that are within the index's edits of a passage."""
+    none = (np.empty(0, np.int64),) * 3
     if not len(starts):
         return none
-    windows = ids[starts[:, None] + np.arange(w)]
+    windows = ids[starts[:, None] + np.arange(size)]
     distinct, place = np.unique(windows, axis=0, return_inverse=True)
     pairs = []
     for walk, positions, keys, rows in zip(index.steps, index.sampled, index.keys, index.rows):
@@ -141,15 +130,40 @@ def _match(index: _Index, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.
     far = _edit_distances(distinct[left], index.passages[right], index.edits)
     near = far <= index.edits
     left, right, far = left[near], right[near], far[near].astype(np.int64)
-    # From pairs of distinct windows to pairs of a text and an item.
+    if not len(left):
+        return none
+    # From pairs of distinct windows to pairs of a place and an item.
     n = index.owner_at[right + 1] - index.owner_at[right]
     left, far = np.repeat(left, n), np.repeat(far, n)
-    item = index.owner_of[np.repeat(index.owner_at[right] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())] if len(n) else np.empty(0, np.int64)
+    item = index.owner_of[np.repeat(index.owner_at[right] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
     order = np.argsort(place, kind="stable")
     first = np.searchsorted(place[order], np.arange(len(distinct) + 1))
     n = first[left + 1] - first[left]
-    start = starts[order[np.repeat(first[left] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]] if len(n) else np.empty(0, np.int64)
-    item, far = np.repeat(item, n), np.repeat(far, n)
+    start = starts[order[np.repeat(first[left] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]]
+    return start, np.repeat(item, n), np.repeat(far, n)
+
+
+def _match(index: _Index, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the text, item, least edit distance of a window, number of windows' starts; one row a text and item."""
+    get, other, w = index.words.get, len(index.words), index.window
+    lists = [words_of(t) for t in texts]
+    sizes = np.array([len(x) for x in lists], np.int64)
+    total = int(sizes.sum())
+    none = (np.empty(0, np.int64),) * 4
+    if not len(index.passages):
+        return none
+    ids = np.fromiter((get(x, other) for words in lists for x in words), np.int32, total)
+    text_of = np.repeat(np.arange(len(texts)), sizes)
+    known = np.r_[0, np.cumsum(ids != other)]
+    found = []
+    for size in range(max(1, w - index.edits), min(total, w + index.edits) + 1):
+        # A window within `edits` edits of a passage has at most so many words that are in no item; each word short is an edit.
+        unknown = index.edits - max(0, w - size)
+        starts = np.flatnonzero((known[size:] - known[:-size] >= size - unknown) & (text_of[: total - size + 1] == text_of[size - 1 :]))
+        found.append(_near(index, ids, starts, size))
+    if not found:
+        return none
+    start, item, far = (np.concatenate(x) for x in zip(*found))
     text = text_of[start]
     order = np.lexsort((far, start, item, text))
     text, item, far, start = text[order], item[order], far[order], start[order]
@@ -166,10 +180,11 @@ def find_leaks(
 ) -> DataFrame:
     """One row for each document row and item that share a passage: doc_id, item_id, edits, n_windows.
 
-    A passage is shared if some `window` consecutive words of the document are within `edits` word edits of as many
-    consecutive words of the item; edits is the least number of them (0: the words are the same), n_windows the number of
-    such places in the document. Words are runs of letters or digits in the lower-cased consistent form. Items and
-    documents of fewer than `window` words share nothing; null and empty texts likewise. Repeated documents are reported
+    A passage is shared if some consecutive words of the document are within `edits` word edits (a word replaced, put in or
+    left out) of `window` consecutive words of the item; edits is the least number of them (0: the words are the same),
+    n_windows the number of places in the document where such words begin. Words are runs of letters or digits in the
+    lower-cased consistent form. Items of fewer than `window` words share nothing, nor do documents of fewer than `window` -
+    `edits`; null and empty texts likewise. Repeated documents are reported
     each, repeated items once; an item_id with several texts counts as one item. item_id must be an integer.
     """
     spark = docs.sparkSession

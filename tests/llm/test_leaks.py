@@ -45,6 +45,30 @@ def test_recall_with_edits():
     assert len(due) > 100 and sum((i, i) in found for i in due) >= 0.9 * len(due)
 
 
+def test_recall_by_kind_of_edit():
+    """A word replaced, put in or left out in the middle of an item; all are expected."""
+    rng = random.Random(3)
+    items = [(i, words(rng, 20, 3000)) for i in range(900)]
+    index = build_index([(i, " ".join(w)) for i, w in items], 13, 1)
+    texts = []
+    for i, w in items:
+        k = rng.randint(9, 10)
+        texts.append(" ".join(["aa"] * 5 + w[:k] + [["zz"], ["zz", w[k]], []][i % 3] + w[k + 1 :] + ["bb"] * 5))
+    text, item, far, _ = _match(index, texts)
+    found = set(zip(text.tolist(), item.tolist()))
+    for kind in range(3):
+        assert sum((i, i) in found for i in range(kind, 900, 3)) >= 0.9 * 300, kind
+    assert set(far.tolist()) == {1}
+
+
+def test_edit_distances_of_other_lengths():
+    rng = np.random.default_rng(6)
+    a, b = rng.integers(0, 3, (300, 8)), rng.integers(0, 3, (300, 9))
+    a[:150] = np.delete(b[:150], 4, axis=1)
+    for x, y in ((a, b), (b, a)):
+        assert [min(levenshtein(list(p), list(q)), 3) for p, q in zip(x, y)] == _edit_distances(x, y, 2).tolist()
+
+
 def test_exact_against_brute_force(spark):
     rng = random.Random(4)
     items = [(i, words(rng, rng.randint(5, 60), 50)) for i in range(30)]
