@@ -45,7 +45,7 @@ def cohort_consensus(spark: SparkSession, folder: str) -> DataFrame:
 
 def paper_components(spark: SparkSession, folder: str) -> DataFrame:
     """Orders that share a part, as components."""
-    line = table(spark, folder, "lineitem").where("l_quantity > 49").select("l_orderkey", "l_partkey").distinct()
+    line = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey").distinct()
     least = line.groupBy("l_partkey").agg(F.min("l_orderkey").alias("b"))
     edges = line.join(least, "l_partkey").select(F.col("l_orderkey").alias("a"), "b")
     return G.components(line.select(F.col("l_orderkey").alias("node")).distinct(), edges)

@@ -1,6 +1,7 @@
 import random
 
 from quirework.operators.graph import components
+from quirework.plans.graph_queries import paper_components
 
 
 def test_components(spark):
@@ -13,3 +14,16 @@ def test_components(spark):
             root[a] = root[b] = min(root[a], root[b])
     got = components(spark.createDataFrame([(x,) for x in nodes], "node int"), spark.createDataFrame(edges, "a int, b int"))
     assert {r["node"]: r["component"] for r in got.collect()} == root
+
+
+def test_paper_components(spark, tmp_path):
+    """Lines of any quantity, also none, join orders; a part that many orders have is one component."""
+    rng = random.Random(3)
+    lines = [(o, rng.randint(1, 90), rng.choice([None, 1.0, 20.0, 49.0, 50.0])) for o in range(1, 61)] + [(100 + i, 500, 1.0 + i % 50) for i in range(40)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    root = {o: o for o, _, _ in lines}
+    for _ in lines:
+        for o, p, _ in lines:
+            root[o] = min(root[x] for x, q, _ in lines if q == p)
+    got = {r["node"]: r["component"] for r in paper_components(spark, str(tmp_path)).collect()}
+    assert got == root
