@@ -36,15 +36,33 @@ def components(nodes: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
     return nodes.join(links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")), "node", "left").select("node", F.coalesce(F.least("node", "m"), "node").alias("component"))
 
 
-def cohort_edges(papers: DataFrame, methods: DataFrame, anchors: DataFrame) -> DataFrame:
+def contained_names(names: DataFrame, least: int = 4) -> DataFrame:
+    """name, other: names of at least so many characters of which one contains the other, both ways. names: name.
+
+    A name that another contains begins with one of the other's runs of `least` characters: they are met there, then verified.
+    """
+    n = names.where(F.length("name") >= least).select("name").distinct()
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - (least - 1)), lambda i: F.col("name").substr(i, F.lit(least))))
+    whole = n.select(F.col("name").alias("other"), F.explode(runs).alias("run"))
+    met = n.withColumn("run", F.substring("name", 1, least)).join(whole, "run").where(F.col("other").contains(F.col("name")) & (F.col("other") != F.col("name"))).select("name", "other")
+    return met.unionByName(met.select(F.col("other").alias("name"), F.col("name").alias("other")))
+
+
+def cohort_edges(papers: DataFrame, methods: DataFrame, anchors: DataFrame, contained: bool = True) -> DataFrame:
     """a, b: pairs of an anchor and another question that have a paper or a method name in common.
 
-    papers: query_id, paper_id; methods: query_id, method (a key); anchors: query_id. Many questions with one paper need no
-    pairs among all: each is joined to the least anchor of that paper, and each anchor likewise, which gives the same
-    components.
+    papers: query_id, paper_id; methods: query_id, method (a key); anchors: query_id. Method names are in common when equal or,
+    if `contained`, when one contains the other and both have four characters. Many questions with one paper need no pairs
+    among all: each is joined to the least anchor of that paper, and each anchor likewise, which gives the same components.
     """
-    shared = papers.select("query_id", F.concat(F.lit("p:"), "paper_id").alias("key")).unionByName(methods.where(F.length("method") >= 3).select("query_id", F.concat(F.lit("m:"), "method").alias("key"))).where("key is not null").distinct()
-    least = shared.join(anchors.select("query_id"), "query_id", "left_semi").groupBy("key").agg(F.min("query_id").alias("b"))
+    named = methods.where(F.length("method") >= 3)
+    shared = papers.select("query_id", F.concat(F.lit("p:"), "paper_id").alias("key")).unionByName(named.select("query_id", F.concat(F.lit("m:"), "method").alias("key"))).where("key is not null").distinct()
+    central = shared.join(anchors.select("query_id"), "query_id", "left_semi")
+    if contained:  # an anchor is also where its names' longer and shorter forms are
+        forms = contained_names(named.select(F.col("method").alias("name"))).select(F.concat(F.lit("m:"), "name").alias("key"), F.concat(F.lit("m:"), "other").alias("form"))
+        central = cut(central.unionByName(central.join(forms, "key").select("query_id", F.col("form").alias("key"))).distinct())
+        shared = shared.unionByName(central).distinct()
+    least = central.groupBy("key").agg(F.min("query_id").alias("b"))
     return shared.join(least, "key").select(F.col("query_id").alias("a"), "b").where("a <> b").distinct()
 
 

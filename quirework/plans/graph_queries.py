@@ -11,10 +11,14 @@ from ..operators.select import merge_routes
 from ..sources.tables import table
 
 
+def _selected(spark: SparkSession, folder: str) -> DataFrame:
+    """All papers of each question that a relation speaks for."""
+    return merge_routes(table(spark, folder, "candidates")).where("relation is not null").select("query_id", "paper_id", "position")
+
+
 def _papers(spark: SparkSession, folder: str) -> DataFrame:
     """The first paper of each question that a relation speaks for, and its next one."""
-    merged = merge_routes(table(spark, folder, "candidates")).where("relation is not null")
-    return merged.withColumn("n", F.row_number().over(G.Window.partitionBy("query_id").orderBy("position"))).where("n <= 2").select("query_id", "paper_id", "position")
+    return _selected(spark, folder).withColumn("n", F.row_number().over(G.Window.partitionBy("query_id").orderBy("position"))).where("n <= 2").select("query_id", "paper_id", "position")
 
 
 def _methods(spark: SparkSession, folder: str) -> DataFrame:
@@ -30,7 +34,12 @@ def _anchors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _members(spark: SparkSession, folder: str) -> DataFrame:
-    edges = cut(G.cohort_edges(_papers(spark, folder), _methods(spark, folder), _anchors(spark, folder)))
+    # As their SQL has it: two papers of each question, equal names. `cohort_members` has all.
+    return _joined(G.cohort_edges(_papers(spark, folder), _methods(spark, folder), _anchors(spark, folder), contained=False))
+
+
+def _joined(edges: DataFrame) -> DataFrame:
+    edges = cut(edges)
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     return G.components(nodes, edges)
 
@@ -39,6 +48,11 @@ def cohort_components(spark: SparkSession, folder: str) -> DataFrame:
     return _members(spark, folder)
 
 
+def cohort_members(spark: SparkSession, folder: str) -> DataFrame:
+    """Components over all selected papers of each question, and over names that are equal or contain one another."""
+    return _joined(G.cohort_edges(_selected(spark, folder), _methods(spark, folder), _anchors(spark, folder)))
+
+
 def cohort_consensus(spark: SparkSession, folder: str) -> DataFrame:
     return G.cohort_consensus(_members(spark, folder), _papers(spark, folder), 2, 2, 5)
 
@@ -51,7 +65,7 @@ def paper_components(spark: SparkSession, folder: str) -> DataFrame:
     return G.components(line.select(F.col("l_orderkey").alias("node")).distinct(), edges)
 
 
-QUERIES = {f.__name__: f for f in (cohort_components, cohort_consensus, paper_components)}
+QUERIES = {f.__name__: f for f in (cohort_components, cohort_members, cohort_consensus, paper_components)}
 
 _MERGED = """c AS (SELECT * FROM candidates WHERE paper_id IS NOT NULL), b AS (SELECT query_id, paper_id, min(row_id) AS first, count(relation_support) AS rel FROM c GROUP BY ALL),
     m AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first) - 1 AS position FROM b),

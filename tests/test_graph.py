@@ -1,6 +1,6 @@
 import random
 
-from quirework.operators.graph import components
+from quirework.operators.graph import cohort_edges, components
 from quirework.plans.graph_queries import paper_components
 
 
@@ -27,3 +27,26 @@ def test_paper_components(spark, tmp_path):
             root[o] = min(root[x] for x, q, _ in lines if q == p)
     got = {r["node"]: r["component"] for r in paper_components(spark, str(tmp_path)).collect()}
     assert got == root
+
+
+def test_cohort_edges_with_contained_names(spark):
+    """The components of all pairs of an anchor and another question with a paper in common, or names that match."""
+    rng = random.Random(5)
+    pool = ["dfine", "deimdfinex", "fine", "finex", "net", "netx", "abc", "xabcx", "retina", "retinanet", "maskformer", "former", "solo", "unique"]
+    methods = [(q, rng.choice(pool)) for q in range(24) for _ in range(rng.randint(0, 1))] + [(40, "dfine"), (41, "deimdfinex"), (50, "net"), (51, "netx")]
+    papers = [(q, f"p{rng.randint(0, 60)}") for q in range(24) for _ in range(2)]
+    anchors = [0, 3, 7, 11, 40, 50]
+    match = lambda a, b: a == b or (min(len(a), len(b)) >= 4 and (a in b or b in a))
+    every = {q for q, _ in methods + papers}
+    pairs = [(a, q) for a in anchors for q in every if a != q and (any(match(m, n) for x, m in methods if x == a for y, n in methods if y == q) or {p for x, p in papers if x == a} & {p for y, p in papers if y == q})]
+
+    def parts(edges):
+        root = {x: x for e in edges for x in e}
+        for _ in root:
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    got = cohort_edges(spark.createDataFrame(papers, "query_id int, paper_id string"), spark.createDataFrame(methods, "query_id int, method string"), spark.createDataFrame([(a,) for a in anchors], "query_id int"))
+    root = parts([tuple(r) for r in got.collect()])
+    assert root == parts(pairs) and root[40] == root[41] and 51 not in root
