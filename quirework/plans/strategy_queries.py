@@ -65,8 +65,14 @@ def property_strategy(spark: SparkSession, folder: str) -> DataFrame:
     return _flat(Y.text_strategy(_asked(spark, folder), texts))
 
 
+def caption_strategy(spark: SparkSession, folder: str) -> DataFrame:
+    """Captions for each question and each of its names; only tables count where a question speaks of a table."""
+    texts = table(spark, folder, "objects").select(F.col("row_id").alias("text_id"), "paper_id", F.col("caption").alias("text"), "source_type")
+    return _flat(Y.text_strategy(_asked(spark, folder), texts, kind=F.col("source_type") == "table", kind_for=F.lower("text").contains("table")))
+
+
 def object_strategy(spark: SparkSession, folder: str) -> DataFrame:
-    """Captions; only tables count where a question speaks of a table."""
+    """As its SQL has it: tables' captions, for questions that speak of a table, without names. `caption_strategy` has all."""
     texts = table(spark, folder, "objects").select(F.col("row_id").alias("text_id"), "paper_id", F.col("caption").alias("text"), "source_type")
     return _flat(Y.text_strategy(_asked(spark, folder).where("group_key is null and lower(text) like '%table%'"), texts, kind=F.col("source_type") == "table"))
 
@@ -91,7 +97,7 @@ def paper_count(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "questions").select("query_id", Y.paper_count(F.concat(phrase, F.regexp_replace(F.coalesce("question", F.lit("")), "-[0-9]", ""))).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (title_surfaces, name_strategy, baseline_strategy, target_queries, property_strategy, object_strategy, citation_strategy, sole_owners, paper_count)}
+QUERIES = {f.__name__: f for f in (title_surfaces, name_strategy, baseline_strategy, target_queries, property_strategy, object_strategy, caption_strategy, citation_strategy, sole_owners, paper_count)}
 
 _NAMES = r"""names AS (SELECT DISTINCT query_id, unnest(list_concat(regexp_extract_all(question, '(?:^|[^\p{L}\p{N}])([A-Z][A-Za-z0-9]{3,})', 1), regexp_extract_all(question, '(?:study of|papers on|with|for) ([a-z-]+ [a-z]+)', 1))) AS name FROM questions WHERE question IS NOT NULL)"""
 _SURFACES = f"""{_POOL}, {_NAMES}, sf AS (SELECT DISTINCT query_id, name, paper_id, {sql.sequence_text('title')} AS t, {sql.sequence_text('name')} AS s FROM names JOIN titles ON title IS NOT NULL AND contains({sql.sequence_text('title')}, {sql.sequence_text('name')})),
