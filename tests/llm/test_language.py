@@ -1,3 +1,4 @@
+import zlib
 from itertools import product
 from pathlib import Path
 
@@ -5,7 +6,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from quirework.llm.language import LANGUAGES, Labeller, fit, label_documents, label_paragraphs, marginals, named_language, paragraphs
+from quirework.llm.language import TABLE, _features, LANGUAGES, Labeller, fit, label_documents, label_paragraphs, marginals, named_language, paragraphs
 
 SENTENCES = {
     "en": ["the results show that our model is better than the others", "we train it with more data and without labels", "this is what they found in the tables", "there are many open questions about these methods"],
@@ -77,3 +78,10 @@ def test_more_words_than_are_remembered(model, monkeypatch):
     labeller = Labeller(model)
     labeller.rows = [np.zeros(6)] * 300_001
     assert [x[0] for x in labeller([SENTENCES["de"][0], SENTENCES["pt"][0]])] == [LANGUAGES.index("de"), LANGUAGES.index("pt")]
+
+
+def test_features_of_long_words():
+    """The endings of long words count: words of 40 letters that differ in the last letters differ in 4-grams of them."""
+    word = "datenschutzgrundverordnungsumsetzungsgesetz"
+    last = [zlib.crc32(x.encode()) % TABLE for x in ("4etz$", "3tz$", "4setz")]
+    assert set(last) <= set(_features(word)) and len(_features(word)) > 60
