@@ -199,6 +199,7 @@ class Labeller:
         self.model = model
         self.known: dict[str, int] = {}
         self.rows: list[np.ndarray] = []
+        self.remembered = 300_000
 
     def _id(self, word: str) -> int:
         """The row of a word's emissions, or -1 for one that isn't ordinary."""
@@ -207,7 +208,7 @@ class Labeller:
             return -1
         at = self.known.get(low)
         if at is None:
-            if len(self.rows) > 300_000:
+            if len(self.rows) > self.remembered:
                 return -2
             at = self.known[low] = len(self.rows)
             self.rows.append(self.model.emissions([low])[0])
@@ -233,11 +234,11 @@ class Labeller:
         labels = self._labels(done)
         self.known, self.rows = {}, []
         rest = texts[len(done) :]
-        if not done and len(rest) == 1:  # a single text with more words than can be remembered: in parts
-            words = _LETTERS(rest[0])
-            half = len(words) // 2
-            parts = self([" ".join(words[:half]), " ".join(words[half:])])
-            return [max(parts, key=lambda x: x[1] * x[2])[:2] + (sum(x[2] for x in parts),)]
+        if not done and len(rest) == 1:  # a single text with more different words: as long as it takes, they are remembered
+            most, self.remembered = self.remembered, len(rest[0])
+            whole = self(rest)
+            self.known, self.rows, self.remembered = {}, [], most
+            return labels + whole
         half = max(1, len(rest) // 2)
         return labels + self(rest[:half]) + (self(rest[half:]) if rest[half:] else [])
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +41,10 @@ class _Index:
     rows: list[list[np.ndarray]]
 
 
-def _walk(windows: np.ndarray, steps: np.ndarray) -> np.ndarray:
-    """The words that the walk stands on at each step; past the end it stands on the last symbol of the alphabet."""
+def _walk(windows: np.ndarray, steps: np.ndarray, end: int) -> np.ndarray:
+    """The words that the walk stands on at each step; past the end it stands on the symbol `end`."""
     n, w = windows.shape
-    padded = np.concatenate([windows, np.full((n, 1), steps.shape[1] - 1, windows.dtype)], axis=1)
+    padded = np.concatenate([windows, np.full((n, 1), end, windows.dtype)], axis=1)
     at, rows = np.zeros(n, np.int64), np.arange(n)
     seen = np.empty((steps.shape[0], n), windows.dtype)
     for j, step in enumerate(steps):
@@ -63,6 +64,15 @@ def _key(seen: np.ndarray, positions: np.ndarray) -> np.ndarray:
     return key
 
 
+def _steps(words: list[str], walk: int, length: int, ends: int = 0) -> np.ndarray:
+    """If the walk goes on from each word at each step: it depends on the word alone, whatever else is in a block."""
+    h = np.array([int.from_bytes(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for w in words] + list(range(ends)), np.uint64)
+    x = h[None, :] + (np.arange(length, dtype=np.uint64)[:, None] + np.uint64(1 + walk * length)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(63)).astype(np.int64)
+
+
 def build_index(items: list[tuple[int, str]], window: int, edits: int, seed: int = 7) -> _Index:
     words: dict[str, int] = {}
     forms = ConsistentForm()(pa.array([t for _, t in items], pa.string())).to_pylist()
@@ -75,12 +85,12 @@ def build_index(items: list[tuple[int, str]], window: int, edits: int, seed: int
     lists = [sorted(x) for x in owners.values()]
     rng = np.random.default_rng(seed)
     length = 3 * window
-    # The alphabet: the items' words, one symbol for all others, one for the end.
-    steps = [rng.integers(0, 2, (length, len(words) + 2)).astype(np.int64) for _ in range(WALKS)]
+    # The alphabet: the items' words, one symbol for others, one for the end.
+    steps = [_steps(list(words), k, length, 2) for k in range(WALKS)]
     sampled = [[np.sort(rng.choice(length, BITS, replace=False)) for _ in range(SAMPLES)] for _ in range(WALKS)]
     keys, rows = [], []
     for walk, positions in zip(steps, sampled):
-        seen = _walk(passages, walk)
+        seen = _walk(passages, walk, len(words) + 1)
         made = [_key(seen, p) for p in positions]
         order = [np.argsort(k, kind="stable") for k in made]
         keys.append([k[o] for k, o in zip(made, order)])
@@ -104,7 +114,7 @@ def _edit_distances(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     return row[v]
 
 
-def _near(index: _Index, ids: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _near(index: _Index, steps: list[np.ndarray], ids: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, item and edit distance of the windows of `size` words that are within the index's edits of a passage."""
     none = (np.empty(0, np.int64),) * 3
     if not len(starts):
@@ -112,8 +122,8 @@ def _near(index: _Index, ids: np.ndarray, starts: np.ndarray, size: int) -> tupl
     windows = ids[starts[:, None] + np.arange(size)]
     distinct, place = np.unique(windows, axis=0, return_inverse=True)
     pairs = []
-    for walk, positions, keys, rows in zip(index.steps, index.sampled, index.keys, index.rows):
-        seen = _walk(distinct, walk)
+    for walk, positions, keys, rows in zip(steps, index.sampled, index.keys, index.rows):
+        seen = _walk(distinct, walk, len(index.words) + 1)
         for p, k, r in zip(positions, keys, rows):
             mine = _key(seen, p)
             lo = np.searchsorted(k, mine, "left")
@@ -155,12 +165,25 @@ def _match(index: _Index, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.
     ids = np.fromiter((get(x, other) for words in lists for x in words), np.int32, total)
     text_of = np.repeat(np.arange(len(texts)), sizes)
     known = np.r_[0, np.cumsum(ids != other)]
-    found = []
+    found, begun = [], []
     for size in range(max(1, w - index.edits), min(total, w + index.edits) + 1):
         # A window within `edits` edits of a passage has at most so many words that are in no item; each word short is an edit.
         unknown = index.edits - max(0, w - size)
         starts = np.flatnonzero((known[size:] - known[:-size] >= size - unknown) & (text_of[: total - size + 1] == text_of[size - 1 :]))
-        found.append(_near(index, ids, starts, size))
+        begun.append((size, starts))
+    # Words of these windows that are in no item are symbols of their own.
+    strange = np.unique(np.concatenate([(starts[:, None] + np.arange(size)).ravel() for size, starts in begun] or [np.empty(0, np.int64)]))
+    strange = strange[~(np.diff(known)[strange].astype(bool))]
+    steps = index.steps
+    if len(strange):
+        begins = np.r_[0, np.cumsum(sizes)]
+        extra: dict[str, int] = {}
+        for at in strange.tolist():
+            t = int(text_of[at])
+            ids[at] = other + 2 + extra.setdefault(lists[t][at - begins[t]], len(extra))
+        steps = [np.concatenate([s, _steps(list(extra), k, len(s))], axis=1) for k, s in enumerate(steps)]
+    for size, starts in begun:
+        found.append(_near(index, steps, ids, starts, size))
     if not found:
         return none
     start, item, far = (np.concatenate(x) for x in zip(*found))
@@ -209,16 +232,14 @@ def find_leaks(
         return left.mapInArrow(run, schema)
 
     parts = []
-    for row in rows.toLocalIterator():  # a block of bounded size at a time
-        block.append((row["item_id"], row["item_text"]))
-        size += len(row["item_text"])
-        if size >= chars_per_block:
+    for row in rows.orderBy("item_id").toLocalIterator():  # a block of bounded size at a time; all texts of an item are in one block
+        if size >= chars_per_block and block[-1][0] != row["item_id"]:
             parts.append(against(block))
             block, size = [], 0
+        block.append((row["item_id"], row["item_text"]))
+        size += len(row["item_text"])
     if block:
         parts.append(against(block))
     for part in parts:
         result = part if part is parts[0] else result.unionByName(part)
-    if len(parts) > 1:  # the same item_id may lie in two blocks
-        result = result.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"), F.max("n_windows").alias("n_windows"))
     return result

@@ -74,10 +74,15 @@ def test_labels(spark, model):
     assert label_paragraphs(df.limit(0), model, "doc_id", "text", "lang").count() == 0
 
 
-def test_more_words_than_are_remembered(model, monkeypatch):
-    labeller = Labeller(model)
-    labeller.rows = [np.zeros(6)] * 300_001
-    assert [x[0] for x in labeller([SENTENCES["de"][0], SENTENCES["pt"][0]])] == [LANGUAGES.index("de"), LANGUAGES.index("pt")]
+def test_more_words_than_are_remembered(model):
+    """A text with more different words than are remembered is labelled as a whole, as any other, and so are the texts around it."""
+    rng = np.random.default_rng(4)
+    long = " ".join("".join(rng.choice(list("abdeilmnorstu"), 7)) for _ in range(60)) + " " + SENTENCES["de"][0]
+    texts = [SENTENCES["en"][0], long, SENTENCES["fr"][1], long, SENTENCES["es"][2]]
+    small = Labeller(model)
+    small.remembered = 20
+    assert [x[0] for x in small(texts)] == [x[0] for x in Labeller(model)(texts)]
+    assert all(abs(a[1] - b[1]) < 1e-9 and a[2] == b[2] for a, b in zip(small(texts), Labeller(model)(texts)))
 
 
 def test_features_of_long_words():

@@ -92,3 +92,14 @@ def test_exact_against_brute_force(spark):
     assert len(due) > 20
     assert find_leaks(df.limit(0), its, "doc_id", "text", "item_id", "item_text").count() == 0
     assert find_leaks(df, its.limit(0), "doc_id", "text", "item_id", "item_text").count() == 0
+
+
+def test_blocks_change_nothing(spark):
+    """The same rows whatever fits into a block, also where an item has several texts."""
+    rng = random.Random(9)
+    items = [(i % 7, " ".join(words(rng, 30))) for i in range(20)]
+    docs = [(i, " ".join(words(rng, 5) + t.split()[i % 9 : i % 9 + 15] + words(rng, 4))) for i, (_, t) in enumerate(items)]
+    docs += [(100, items[0][1] + " " + items[7][1])]
+    left, right = spark.createDataFrame(docs, "d int, t string"), spark.createDataFrame(items, "i int, x string")
+    found = [sorted(map(tuple, find_leaks(left, right, "d", "t", "i", "x", chars_per_block=n).collect())) for n in (8_000_000, 10)]
+    assert found[0] == found[1] and len(found[0]) >= 20
