@@ -14,6 +14,14 @@ STOP_WORDS = (
 SKIPPED_IN_EXPANSIONS = "of for and the a an to in on or with per at by from via over".split()
 # Numbers of papers in words.
 COUNT_WORDS = {"two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10}
+# Words between a number and `papers` that make it the number of something else.
+COUNT_BLOCKERS = (
+    "of in on from by with using against versus per for value values result results score scores trial trials scene scenes sample samples "
+    "task tasks keyframe keyframes text texts stage stages module modules part parts type types mask masks image images object objects "
+    "iteration iterations matrice matrices equation equations hypotheses prompt prompts timestep timesteps"
+).split()
+#: Of these only the unhyphenated form counts (`in`, not `in-context`).
+PREPOSITIONS = COUNT_BLOCKERS[:11]
 ASCII_PUNCTUATION = r"!\"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~"
 
 

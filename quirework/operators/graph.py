@@ -4,21 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..cluster import cut
+from ..cluster import cut, release
 
 LEAST_RECORDS, LEAST_VOTES, MOST_PAPERS = 6, 2, 5
 
 
-def components(nodes: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, component: the least node that each can reach. nodes: node; edges: a, b.
 
     Large-star and small-star steps alternate (Kiveris and others): each joins every node's neighbours to the least of them,
-    and the edges become stars in a logarithmic number of rounds. Only edges are shuffled, none are gathered. Null ends and
-    loops are no edges; a node without edges is its own component.
+    and the edges become stars in a logarithmic number of rounds; each round's table replaces the one before. Only edges are
+    shuffled, none are gathered; the joins on a hub are between many edges and one row. Null ends and loops are no edges; a
+    node without edges is its own component.
     """
     links = cut(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").distinct())
     before = None
-    for _ in range(most):
+    while True:
         for large in (True, False):
             both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
             near = both if large else both.where("v <= u")
@@ -26,13 +27,12 @@ def components(nodes: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
             # Large star: neighbours above the node; small star: those below it and itself.
             joined = near.join(least, "u")
             out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")) if large else joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-            links = cut(out.where("u <> v").distinct())
+            old, links = links, cut(out.where("u <> v").distinct())
+            release(old)
         state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError(f"no end after {most} rounds")
     return nodes.join(links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")), "node", "left").select("node", F.coalesce(F.least("node", "m"), "node").alias("component"))
 
 

@@ -43,7 +43,7 @@ def table_scores(gold: DataFrame, predicted: DataFrame, table: str, row: str, va
     g = gold.select(table, key.alias("k"), "column", F.col(value).cast("string").alias("gv"))
     p = predicted.select(table, key.alias("k"), "column", F.col(value).cast("string").alias("pv"), F.lit(True).alias("there"))
     rows = set_scores(g, p, table, "k").select(table, F.col("f1").alias("row_f1"))
-    p = p.groupBy(table, "k", "column").agg(F.first("pv").alias("pv"), F.first("there").alias("there"))
+    p = p.groupBy(table, "k", "column").agg(F.min("pv").alias("pv"), F.max("there").alias("there"))
     cells = g.join(p, [table, "k", "column"], "left").groupBy(table).agg(F.count("*").alias("n_cells"), F.count_if(F.col("there").isNotNull() & cells_match(F.col("gv"), F.col("pv"))).alias("right"))
     return rows.join(cells, table).select(table, "row_f1", F.round(F.col("right") / F.col("n_cells"), 9).alias("cell_accuracy"), "n_cells")
 
@@ -64,7 +64,7 @@ def violations(lines: DataFrame, questions: DataFrame, source_types: list[str])
     own = lines.where("query_id is not null")
     count = own.groupBy("query_id").agg(F.count("*").alias("n"))
     ids = questions.select("query_id").distinct()
-    options = questions.groupBy("query_id").agg(F.first("mc_options", ignorenulls=True).alias("mc_options"))
+    options = questions.groupBy("query_id").agg(F.min_by("mc_options", F.when(F.col("mc_options").isNotNull(), F.to_json("mc_options"))).alias("mc_options"))
     with_options = own.join(options, "query_id", "left")
     papers, evidence = F.coalesce("gold_papers", F.array().cast("array<string>")), F.col("evidence")
     rules = [
@@ -89,7 +89,7 @@ def repaired(answers: DataFrame, questions: DataFrame) -> DataFrame:
     answers: query_id, text, choice. A missing text becomes a placeholder, a choice that is no label the first label; only
     the types that a question asks for are given, and fell_back lists those that had to be repaired.
     """
-    met = questions.select("query_id", "answer_types", "mc_options").join(answers.groupBy("query_id").agg(F.first("text").alias("text"), F.upper(F.trim(F.first("choice"))).alias("choice")), "query_id", "left")
+    met = questions.select("query_id", "answer_types", "mc_options").join(answers.groupBy("query_id").agg(F.min("text").alias("text"), F.upper(F.trim(F.min("choice"))).alias("choice")), "query_id", "left")
     wants = lambda t: F.coalesce(F.array_contains("answer_types", t), F.lit(False))
     labels = F.array_sort(F.transform(F.map_keys("mc_options"), lambda x: F.upper(F.trim(x))))
     text_ok = F.coalesce(F.trim("text") != "", F.lit(False))

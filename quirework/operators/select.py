@@ -27,18 +27,31 @@ def merge_routes(rows: DataFrame, order: str = "row_id") -> DataFrame:
     return base.join(names, key, "left").join(signals, key, "left")
 
 
+# What a venue in front of it scopes, and the longest way there.
+SCOPED_NOUNS, SCOPE_GAP = "papers?|works?|studies|methods?", r"[^.?!;:]{0,80}?"
+
+
 def venue_constraint(question: Column, venues: list[str]) -> tuple[Column, Column]:
-    """The venue and year that a question asks its papers to have: of `VENUE [YEAR] ... papers`, else its only venue's.
+    """The venue and year that a question asks its papers to have, else null.
 
-    A year alone is no constraint, nor are several venues.
+    Papers are scoped by `VENUE [YEAR] ... papers` or `YEAR VENUE ... papers`: of all such places those with a year come
+    first, then the earliest. Without any the question's only venue counts, with the year if there is only one. A year alone is
+    no constraint, nor are several venues.
     """
     q = F.coalesce(question, F.lit(""))
     alt = "|".join(venues)
-    scoped = rf"(?i)\b({alt})(?:[\s-]*(20\d{{2}}))?\b[^.?!;:]{{0,80}}?\b(?:papers?|works?|studies|methods?)\b"
+
+    def places(pattern: str, venue: int, year: int) -> Column:
+        parts = lambda m, k: F.nullif(F.lower(F.regexp_extract(m, pattern, k)), F.lit(""))
+        return F.transform(F.regexp_extract_all(q, F.lit(pattern), 0), lambda m: F.struct(parts(m, year).isNull().alias("bare"), F.call_function("locate", m, q).alias("begin"), parts(m, venue).alias("venue"), parts(m, year).alias("year")))
+
+    behind = places(rf"(?i)\b({alt})(?:[\s-]*(20\d{{2}}))?\b{SCOPE_GAP}\b(?:{SCOPED_NOUNS})\b", 1, 2)
+    before = places(rf"(?i)\b(20\d{{2}})[\s-]+({alt})\b{SCOPE_GAP}\b(?:{SCOPED_NOUNS})\b", 2, 1)
+    best = F.array_min(F.concat(behind, before))
     named = F.array_distinct(F.transform(F.regexp_extract_all(q, F.lit(rf"(?i)\b({alt})\b"), 1), lambda v: F.lower(v)))
     years = F.array_distinct(F.regexp_extract_all(q, F.lit(r"\b(20\d{2})\b"), 1))
-    venue = F.when(q.rlike(scoped), F.lower(F.regexp_extract(q, scoped, 1))).when(F.size(named) == 1, F.element_at(named, 1))
-    year = F.when(q.rlike(scoped), F.nullif(F.regexp_extract(q, scoped, 2), F.lit(""))).when((F.size(named) == 1) & (F.size(years) == 1), F.element_at(years, 1))
+    venue = F.when(best.isNotNull(), best["venue"]).when(F.size(named) == 1, F.element_at(F.when(F.size(named) == 1, named), 1))
+    year = F.when(best.isNotNull(), best["year"]).when((F.size(named) == 1) & (F.size(years) == 1), F.element_at(F.when(F.size(years) == 1, years), 1))
     return venue, year
 
 

@@ -73,11 +73,11 @@ QUERIES = {f.__name__: f for f in (evidence_validate, object_labels, value_groun
 
 _MATCH = r"lower(trim(regexp_replace(replace(regexp_replace(coalesce({0}, ''), '-\s*\n\s*', '', 'g'), chr(173), ''), '\s+', ' ', 'g'), ' '))"
 _LABEL = r"""CASE WHEN regexp_matches(trim({id}, ' '), '(?i)^[(\[]?\s*(\d+[a-z]?)\s*[)\]]?$') THEN '{label} ' || regexp_extract(trim({id}, ' '), '(?i)^[(\[]?\s*(\d+[a-z]?)\s*[)\]]?$', 1)
-    WHEN regexp_matches(trim({id}, ' '), '(?i)^{short}\s*[(\[]?\s*(\d+[a-z]?)\s*[)\]]?(?:[^.\w]|\.$|\.\s|$)') THEN '{label} ' || regexp_extract(trim({id}, ' '), '(?i)^{short}\s*[(\[]?\s*(\d+[a-z]?)\s*[)\]]?(?:[^.\w]|\.$|\.\s|$)', 1) ELSE trim({id}, ' ') END"""
+    WHEN regexp_matches(trim({id}, ' '), '(?i)^(?:{short})\s*[(\[]?\s*(\d+[a-z]?)(?:[^.\w]|$)') THEN '{label} ' || regexp_extract(trim({id}, ' '), '(?i)^(?:{short})\s*[(\[]?\s*(\d+[a-z]?)(?:[^.\w]|$)', 1) ELSE trim({id}, ' ') END"""
 
 
 def _label(id_: str) -> str:
-    return "CASE " + " ".join(f"WHEN source_type = '{k}' THEN {_LABEL.format(id=id_, label=label, short=V._SHORT[k])}" for k, label in V.LABELS.items()) + " END"
+    return "CASE " + " ".join(f"WHEN source_type = '{k}' THEN {_LABEL.format(id=id_, label=label, short={"table": r"table|tab\.?", "figure": r"figure|fig\.?", "equation_algorithm": r"equation|eq\.?", "citation_context": r"citation|cit\.?|reference|ref\.?"}[k])}" for k, label in V.LABELS.items()) + " END"
 
 
 _EVIDENCE = """c AS (SELECT query_id, paper_id, row_id, unnest(support) AS s, generate_subscripts(support, 1) - 1 AS i FROM candidates WHERE paper_id IS NOT NULL),

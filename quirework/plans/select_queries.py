@@ -26,8 +26,9 @@ def route_merge(spark: SparkSession, folder: str) -> DataFrame:
 
 def question_constraint(spark: SparkSession, folder: str) -> DataFrame:
     venue, year = S.venue_constraint(F.col("asked"), VENUES)
-    # The year of some is written behind the venue.
-    asked = F.when(F.substr("query_id", F.lit(-1)) == "1", F.regexp_replace("question", r"(?i)\b(" + "|".join(VENUES) + r") papers", "$1 2023 papers")).otherwise(F.col("question"))
+    # The year of some is written behind the venue, of some before it; some speak of another paper first.
+    last, named = F.substr("query_id", F.lit(-1)), r"(?i)\b(" + "|".join(VENUES) + r") papers"
+    asked = F.when(last == "1", F.regexp_replace("question", named, "$1 2023 papers")).when(last == "2", F.regexp_replace("question", named, "2022 $1 papers")).when(last == "3", F.concat(F.lit("A Vexal paper is cited by two Ormil 2021 papers. "), F.col("question"))).otherwise(F.col("question"))
     return table(spark, folder, "questions").select("query_id", asked.alias("asked")).select("query_id", venue.alias("venue"), year.alias("year"))
 
 
@@ -141,10 +142,13 @@ _BASE = f"""{_C}, {_SIGNALS},
     merged AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first) - 1 AS position FROM b)"""
 _VENUE_RE = "|".join(VENUES)
 _SCOPED = rf"(?i)\b({_VENUE_RE})(?:[\s-]*(20\d{{2}}))?\b[^.?!;:]{{0,80}}?\b(?:papers?|works?|studies|methods?)\b"
-_ASKED = rf"""asked AS (SELECT query_id, coalesce(CASE WHEN right(query_id, 1) = '1' THEN regexp_replace(question, '(?i)\b({_VENUE_RE}) papers', '\1 2023 papers', 'g') ELSE question END, '') AS q FROM questions),
+_BEFORE = rf"(?i)\b(20\d{{2}})[\s-]+({_VENUE_RE})\b[^.?!;:]{{0,80}}?\b(?:papers?|works?|studies|methods?)\b"
+_ASKED = rf"""asked AS (SELECT query_id, coalesce(CASE right(query_id, 1) WHEN '1' THEN regexp_replace(question, '(?i)\b({_VENUE_RE}) papers', '\1 2023 papers', 'g') WHEN '2' THEN regexp_replace(question, '(?i)\b({_VENUE_RE}) papers', '2022 \1 papers', 'g') WHEN '3' THEN 'A Vexal paper is cited by two Ormil 2021 papers. ' || question ELSE question END, '') AS q FROM questions),
     named AS (SELECT query_id, q, list_distinct(list_transform(regexp_extract_all(q, '(?i)\b({_VENUE_RE})\b'), lambda v: lower(v))) AS v, list_distinct(regexp_extract_all(q, '\b(20\d{{2}})\b')) AS y FROM asked),
-    wanted AS (SELECT query_id, CASE WHEN regexp_matches(q, '{_SCOPED}') THEN lower(regexp_extract(q, '{_SCOPED}', 1)) WHEN len(v) = 1 THEN v[1] END AS venue,
-        CASE WHEN regexp_matches(q, '{_SCOPED}') THEN nullif(regexp_extract(q, '{_SCOPED}', 2), '') WHEN len(v) = 1 AND len(y) = 1 THEN y[1] END AS year FROM named)"""
+    places AS (SELECT query_id, strpos(q, m) AS begin, lower(regexp_extract(m, '{_SCOPED}', 1)) AS venue, nullif(regexp_extract(m, '{_SCOPED}', 2), '') AS year FROM (SELECT query_id, q, unnest(regexp_extract_all(q, '{_SCOPED}')) AS m FROM named)
+        UNION ALL SELECT query_id, strpos(q, m), lower(regexp_extract(m, '{_BEFORE}', 2)), regexp_extract(m, '{_BEFORE}', 1) FROM (SELECT query_id, q, unnest(regexp_extract_all(q, '{_BEFORE}')) AS m FROM named)),
+    best AS (SELECT query_id, arg_min({{v: venue, y: year}}, begin + CASE WHEN year IS NULL THEN 1000000000 ELSE 0 END) AS b FROM places GROUP BY query_id),
+    wanted AS (SELECT query_id, CASE WHEN b IS NOT NULL THEN b.v WHEN len(v) = 1 THEN v[1] END AS venue, CASE WHEN b IS NOT NULL THEN b.y WHEN len(v) = 1 AND len(y) = 1 THEN y[1] END AS year FROM named LEFT JOIN best USING (query_id))"""
 _ATTESTED = f"""{_BASE}, g AS (SELECT query_id, paper_id, bool_or(len(list_filter(support, lambda x: regexp_matches(x.text, '[0-9]'))) > 0) AS grounded FROM c GROUP BY ALL),
     a AS (SELECT query_id, paper_id, CASE WHEN relation IS NOT NULL THEN 'relation' WHEN grounded THEN 'value' END AS reason, CASE WHEN relation IS NOT NULL THEN 0.95::DOUBLE WHEN grounded THEN 0.9 END AS confidence FROM merged JOIN g USING (query_id, paper_id))"""
 _PLACED = f"""{_BASE}, h AS (SELECT query_id, paper_id, bool_or(s.route = 'property') AS p FROM s GROUP BY ALL),

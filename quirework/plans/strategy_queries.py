@@ -9,6 +9,7 @@ from ..operators import strategies as Y
 from ..sources.pool import load_pool
 from ..sources.tables import table
 from . import sql
+from .select_queries import VENUES
 from .entity_queries import _ALIASES, _POOL, SQL as _ENTITY_SQL, paper_relations
 
 
@@ -93,8 +94,8 @@ def sole_owners(spark: SparkSession, folder: str) -> DataFrame:
 def paper_count(spark: SparkSession, folder: str) -> DataFrame:
     """Counts in questions to which phrases of several kinds are put."""
     d = F.substr("query_id", F.lit(-1)).cast("int")
-    phrase = F.element_at(F.array(*[F.lit(x) for x in ("Which two papers agree? ", "Name THREE recent papers. ", "Both of these papers differ. ", "In four of the papers, ", "Two values in the paper differ. ", "Give two papers and three papers. ", "5 papers ", "one paper ", "Two-stage papers ", "")]), d + 1)
-    return table(spark, folder, "questions").select("query_id", Y.paper_count(F.concat(phrase, F.regexp_replace(F.coalesce("question", F.lit("")), "-[0-9]", ""))).alias("n"))
+    phrase = F.element_at(F.array(*[F.lit(x) for x in ("Which two papers agree? ", "Name THREE recent papers. ", "Both of these papers differ. ", "In four of the papers, ", "Two values in the paper differ. ", "Give two papers and three papers. ", "5 papers ", "Name two Ormil 2025 works. ", "Two-stage papers ", "Both the first paper and the other paper differ. ")]), d + 1)
+    return table(spark, folder, "questions").select("query_id", Y.paper_count(F.concat(phrase, F.regexp_replace(F.coalesce("question", F.lit("")), "-[0-9]", "")), VENUES).alias("n"))
 
 
 QUERIES = {f.__name__: f for f in (title_surfaces, name_strategy, baseline_strategy, target_queries, property_strategy, object_strategy, caption_strategy, citation_strategy, sole_owners, paper_count)}
@@ -128,5 +129,5 @@ SQL = {
     "object_strategy": f"WITH {_ASKED}, {sql.bm25(_Q.format('asked') + ' WHERE group_key IS NULL AND contains(lower(text), chr(116) || chr(97) || chr(98) || chr(108) || chr(101))', 'SELECT row_id AS doc, caption AS text FROM objects')}, own AS (SELECT row_id AS doc, paper_id, source_type FROM objects), {_GROUPED.format(where=chr(65) + 'ND source_type = ' + chr(39) + 'table' + chr(39))}",
     "citation_strategy": f"WITH {_SURFACES}, asked AS (SELECT query_id, NULL AS group_key, string_agg(name, ' ' ORDER BY name) AS text FROM names GROUP BY query_id), {sql.bm25(_Q.format('asked'), 'SELECT doc_id AS doc, text FROM documents')}, own AS (SELECT doc_id AS doc, paper_id FROM documents), {_GROUPED.format(where='AND NOT EXISTS (SELECT 1 FROM surfaces x WHERE x.query_id = string_split(query, chr(1))[1] AND x.paper_id = own.paper_id)')}",
     "sole_owners": f"WITH {_POOL}, {_NAMES}, m AS (SELECT DISTINCT name, paper_id FROM (SELECT DISTINCT name FROM names) JOIN titles ON contains({sql.sequence_text(chr(99) + 'oncat_ws(' + chr(39) + ' ' + chr(39) + ', title, abstract)')}, {sql.sequence_text('name')})) SELECT name, min(paper_id) AS paper_id FROM m GROUP BY name HAVING count(*) = 1",
-    "paper_count": "SELECT query_id, [2, 3, 2, 4, NULL, NULL, 5, NULL, NULL, NULL][right(query_id, 1)::INT + 1] AS n FROM questions",
+    "paper_count": "SELECT query_id, [2, 3, 2, 4, NULL, NULL, 5, 2, NULL, 2][right(query_id, 1)::INT + 1] AS n FROM questions",
 }
