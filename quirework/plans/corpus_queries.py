@@ -76,7 +76,7 @@ def acronym_definitions(spark: SparkSession, folder: str) -> DataFrame:
     """Acronyms defined in a text made of part names and their initials."""
     part = table(spark, folder, "part")
     words = F.transform(F.split("p_name", " "), lambda w: F.upper(F.left(w, F.lit(1))))
-    return C.acronym_definitions(part.select("p_partkey", F.concat(F.lit("We use the "), F.initcap("p_name"), F.lit(" ("), F.array_join(words, ""), F.lit(") here.")).alias("text")), ["p_partkey"], "text")
+    return C.acronym_definitions(part.select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("We use the "), F.initcap("p_name"), F.lit(" ("), F.array_join(words, ""), F.lit(") here."))).otherwise(F.concat(F.lit("As "), F.array_join(words, ""), F.lit(", "), "p_name", F.lit(" of old, does."))).alias("text")), ["p_partkey"], "text")
 
 
 QUERIES = {f.__name__: f for f in (captions, page_objects, sections, section_asof, passages_packed, object_lookup, block_neighbours, reference_list, parse_quality, acronym_definitions)}
@@ -113,7 +113,7 @@ SQL = {
                CASE WHEN none OR few OR low OR headless THEN 'suspicious' ELSE 'plausible' END AS reference_quality FROM w""",
     "reference_list": r"""WITH e AS (SELECT citing_paper_id, row_number() OVER (PARTITION BY citing_paper_id ORDER BY entry_id) AS index, trim(regexp_replace(text, '\s+', ' ', 'g')) AS raw, count(*) OVER (PARTITION BY citing_paper_id) AS n FROM bib_entries WHERE text IS NOT NULL)
         SELECT citing_paper_id, index, CASE WHEN n = 1 THEN '[1] ' || raw ELSE raw END AS raw FROM e""",
-    "acronym_definitions": """SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1])), '') AS alias, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS expanded FROM part""",
+    "acronym_definitions": """SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1])), '') AS alias, array_to_string(list_transform(string_split(p_name, ' '), lambda w: CASE WHEN p_partkey % 2 = 0 THEN upper(w[1]) || w[2:] ELSE w END), ' ') AS expanded FROM part""",
     "passages_packed": r"""WITH RECURSIVE s AS (
             SELECT doc_id, list_filter(flatten(list_transform(string_split_regex(text, '\n\s*\n'), lambda p: string_split(regexp_replace(trim(regexp_replace(p, '\s+', ' ', 'g')), '([.?!])\s+', '\1' || chr(1), 'g'), chr(1)))), lambda x: x <> '') AS l FROM documents),
         c AS (SELECT doc_id, flatten(list_transform(l, lambda x: list_transform(range(0, len(string_split(x, ' ')), 60), lambda i: array_to_string(string_split(x, ' ')[i + 1 : i + 60], ' ')))) AS l FROM s),

@@ -108,7 +108,41 @@ def relations_reverse(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumn("neighbours", F.array_join("neighbours", ","))
 
 
-QUERIES = {f.__name__: f for f in (pool_first, title_index, title_lookup, acronym_lookup, initials_match, alias_definitions, recurring_names, alias_scope, alias_resolve, paper_mentions, resolver_cascade, paper_relations, relations_forward, relations_reverse)}
+def _coining(spark: SparkSession, folder: str) -> DataFrame:
+    k, name = F.col("p_partkey") % 6, F.initcap("p_brand")
+    name = F.regexp_replace(name, "#", "")
+    said = F.when(k == 0, F.concat(F.lit("so we call it "), name, F.lit(" here"))).when(k == 1, F.concat(F.lit("It is dubbed "), name, F.lit("."))).when(k == 2, F.concat(F.lit("we refer to this method as "), name)).when(k == 3, F.concat(F.lit("we call. "), name)).when(k == 4, F.concat(F.lit("denoted as plain "), name)).otherwise(F.concat(F.lit("we Term our model "), F.lower(name)))
+    return table(spark, folder, "part").select("p_partkey", said.alias("text"), name.alias("name"))
+
+
+def aliases_coined(spark: SparkSession, folder: str) -> DataFrame:
+    return N.coined_aliases(_coining(spark, folder), ["p_partkey"], "text")
+
+
+def names_cued(spark: SparkSession, folder: str) -> DataFrame:
+    """Mixed-case names that a paper's texts have three times, near a cue or a word of its title."""
+    docs = table(spark, folder, "documents").where("paper_id is not null")
+    return N.cued_names(N.recurring_names(docs, "paper_id", "text"), docs, "paper_id", "text", _pool(spark, folder).select("paper_id", "title"))
+
+
+def _hits(spark: SparkSession, folder: str) -> DataFrame:
+    """Aliases of lines' parts: an order is a paper; every fourth expansion doesn't fit."""
+    part = table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    rows = table(spark, folder, "lineitem").join(part, "l_partkey")
+    initials = F.array_join(F.transform(F.split("p_name", " "), lambda w: F.upper(F.left(w, F.lit(1)))), "")
+    k = F.col("l_linenumber") % 4
+    return rows.select(F.col("l_orderkey").cast("string").alias("paper_id"), initials.alias("alias"), F.when(k == 0, "unrelated").when(k == 1, "").when(k == 2, F.upper("p_name")).otherwise(F.col("p_name")).alias("expansion"), F.col("l_linenumber").alias("page"), F.when(k == 1, "body_coinage").otherwise("body_definition").alias("source"), F.repeat(F.lit("x"), F.col("l_linenumber")).alias("support"), F.when(k == 1, 0.6).otherwise(0.9).alias("confidence"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("seq"))
+
+
+def aliases_collected(spark: SparkSession, folder: str) -> DataFrame:
+    return N.collected_aliases(_hits(spark, folder)).select("paper_id", "alias_key", "source", "alias", "expansion", "page", "support", "confidence")
+
+
+def aliases_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    return N.alias_evidence(N.collected_aliases(_hits(spark, folder)))
+
+
+QUERIES = {f.__name__: f for f in (aliases_coined, names_cued, aliases_collected, aliases_evidence, pool_first, title_index, title_lookup, acronym_lookup, initials_match, alias_definitions, recurring_names, alias_scope, alias_resolve, paper_mentions, resolver_cascade, paper_relations, relations_forward, relations_reverse)}
 
 _NO = ", ".join(f"'{w}'" for w in N.NO_METHODS)
 _POOL = "pool AS (SELECT paper_id, min_by(p, row_id) AS r FROM papers p WHERE paper_id IS NOT NULL GROUP BY paper_id), titles AS (SELECT paper_id, r.title AS title, coalesce(r.abstract, '') AS abstract FROM pool)"
@@ -154,6 +188,20 @@ SQL = {
     "initials_match": f"""WITH a AS (SELECT p_partkey AS k, {_INITIALS} AS alias FROM part), p AS (SELECT p_partkey, k, alias, p_name FROM part JOIN a ON p_partkey = k UNION ALL SELECT p_partkey, k, alias, p_name FROM part JOIN a ON p_partkey = k + 1)
         SELECT p_partkey, k, alias, {_INITIALS} = alias AS matches FROM p""",
     "alias_definitions": f"SELECT p_partkey, {_INITIALS} AS alias, 'a ' || p_name AS expansion FROM part",
+    "aliases_coined": "SELECT p_partkey, CASE p_partkey % 6 WHEN 4 THEN replace(p_brand, '#', '') ELSE replace(p_brand, '#', '') END AS alias FROM part WHERE p_partkey % 6 IN (0, 1, 2)",
+    "names_cued": rf"""WITH d AS (SELECT paper_id, text FROM documents WHERE paper_id IS NOT NULL), t AS (SELECT paper_id, unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9]*')) AS alias FROM d),
+        r AS (SELECT paper_id, alias, count(*) AS n FROM t WHERE regexp_matches(alias, '[a-z]') AND regexp_matches(alias, '[A-Z]') GROUP BY ALL HAVING count(*) >= 3),
+        p AS (SELECT paper_id, list_filter(regexp_extract_all(lower(coalesce(min_by({{x: title}}, row_id).x, '')), '[a-z]+'), lambda w: length(w) > 3) AS own FROM papers GROUP BY paper_id),
+        c AS (SELECT r.*, list_concat(coalesce(own, []), string_split('{' '.join(N.METHOD_CUES)}', ' ')) AS cues, coalesce(own, []) AS own FROM r LEFT JOIN p USING (paper_id)),
+        x AS (SELECT c.*, string_split_regex(text, '\b' || alias || '\b') AS s FROM c JOIN d USING (paper_id) WHERE contains(text, alias)),
+        y AS (SELECT * EXCLUDE (s), list_transform(range(1, len(s)), lambda i: s[i][-50:] || ' | ' || s[i + 1][:50]) AS around FROM x)
+        SELECT DISTINCT paper_id, alias, n FROM y WHERE list_contains(own, lower(alias)) OR list_has_any(flatten(list_transform(around, lambda a: regexp_extract_all(lower(a), '[a-z]+'))), cues)""",
+    "aliases_collected": """WITH h AS (SELECT l_orderkey::VARCHAR AS paper_id, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1])), '') AS alias, CASE l_linenumber % 4 WHEN 1 THEN '' WHEN 2 THEN upper(p_name) ELSE p_name END AS expansion, l_linenumber AS page, CASE l_linenumber % 4 WHEN 1 THEN 'body_coinage' ELSE 'body_definition' END AS source,
+            repeat('x', l_linenumber) AS support, CASE l_linenumber % 4 WHEN 1 THEN 0.6 ELSE 0.9 END::DOUBLE AS confidence, row_number() OVER (ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS seq FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber % 4 <> 0)
+        SELECT paper_id, alias AS alias_key, source, alias, arg_min(expansion, seq) AS expansion, arg_min(page, seq) AS page, arg_min(support, seq) AS support, arg_min(confidence, seq) AS confidence FROM h GROUP BY paper_id, alias, source, lower(expansion)""",
+    "aliases_evidence": """WITH h AS (SELECT l_orderkey::VARCHAR AS paper_id, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1])), '') AS alias, lower(p_name) AS e, l_linenumber AS page, l_linenumber % 4 = 1 AS coined FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber % 4 <> 0),
+        k AS (SELECT paper_id, alias, coined, CASE WHEN coined THEN '' ELSE e END AS e, min(page) AS page FROM h GROUP BY ALL)
+        SELECT paper_id, alias AS alias_key, CASE WHEN bool_and(coined) THEN 'body_coinage' ELSE 'body_definition' END AS source, repeat('x', CASE WHEN bool_and(coined) THEN max(page) ELSE max(page) FILTER (NOT coined) END) AS support, CASE WHEN bool_and(coined) THEN 0.6 ELSE 0.9 END::DOUBLE AS confidence FROM k GROUP BY ALL""",
     "recurring_names": "WITH t AS (SELECT paper_id, unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9]*')) AS alias FROM documents WHERE paper_id IS NOT NULL) SELECT paper_id, alias, count(*) AS n FROM t WHERE regexp_matches(alias, '[a-z]') AND regexp_matches(alias, '[A-Z]') GROUP BY ALL HAVING count(*) >= 3",
     "alias_scope": f"WITH {_POOL}, {_ALIASES} SELECT alias_key, df, scope FROM scopes",
     "alias_resolve": f"""WITH {_POOL}, {_ALIASES}, names AS (SELECT DISTINCT lower(alias) AS name FROM aliases), met AS (SELECT DISTINCT name, paper_id, scope, df FROM names JOIN aliases a ON a.alias_key = {sql.alias_key('name')} JOIN scopes s ON s.alias_key = a.alias_key),
