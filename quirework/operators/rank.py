@@ -74,7 +74,7 @@ def _filter_of(wanted: DataFrame, bits: int = 1 << 20):
     words = [0] * (bits >> 6)
     for r in rows:
         words[r["place"]] = r["word"]
-    table = F.lit(words)
+    table = F.lit(words).cast("array<bigint>")  # small numbers alone would be taken for integers of 32 bits
 
     def test(term: Column) -> Column:
         h = F.xxhash64(term).bitwiseAND(bits - 1)
