@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators import locate as L
 from ..operators.rank import bm25, top
 from ..sources.tables import table
 from . import sql
 
-_LABEL = F.initcap("scorer_visible_id")
+def _label() -> Column:
+    return F.initcap("scorer_visible_id")
 
 
 def visible_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -34,12 +35,12 @@ def _ranked(spark: SparkSession, folder: str, texts: DataFrame) -> DataFrame:
 def _indexed(spark: SparkSession, folder: str) -> DataFrame:
     objects = table(spark, folder, "objects").where("paper_id is not null")
     captions = _ranked(spark, folder, objects.select("paper_id", F.col("row_id").alias("doc"), F.col("caption").alias("text")))
-    captions = captions.join(objects.select(F.col("row_id").alias("doc"), "source_type", _LABEL.alias("object_id"), "page"), "doc")
+    captions = captions.join(objects.select(F.col("row_id").alias("doc"), "source_type", _label().alias("object_id"), "page"), "doc")
     docs = table(spark, folder, "documents").where("paper_id is not null").select("paper_id", F.col("doc_id").alias("doc"), "text", "page")
     passages = _ranked(spark, folder, docs.select("paper_id", "doc", "text")).join(docs.select("doc", "text", "page"), "doc")
     # Every third passage prints the label of some object.
     passages = passages.withColumn("text", F.when(F.col("doc") % 3 == 0, F.concat("text", F.lit(" as in Table 1, Figure 2."))).otherwise(F.col("text")))
-    return L.locate_indexed(table(spark, folder, "questions"), captions, passages, objects.select("paper_id", "page", "source_type", _LABEL.alias("object_id")))
+    return L.locate_indexed(table(spark, folder, "questions"), captions, passages, objects.select("paper_id", "page", "source_type", _label().alias("object_id")))
 
 
 def _proposed(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,7 +58,7 @@ def evidence_indexed(spark: SparkSession, folder: str) -> DataFrame:
 
 def _captions_only(spark: SparkSession, folder: str) -> DataFrame:
     """Evidence of questions that the table objects of their papers are."""
-    objects = table(spark, folder, "objects").where("paper_id is not null").select("paper_id", "source_type", "page", _LABEL.alias("object_id"), "row_id")
+    objects = table(spark, folder, "objects").where("paper_id is not null").select("paper_id", "source_type", "page", _label().alias("object_id"), "row_id")
     return _pairs(spark, folder).join(objects, "paper_id").select("query_id", "paper_id", "source_type", "page", "object_id", F.lit(0.82).alias("confidence"), F.col("row_id").alias("seq"))
 
 
