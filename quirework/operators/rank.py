@@ -14,6 +14,8 @@ from ..functions.text import terms
 
 K1, B = 1.5, 0.75
 RRF_K = 60
+#: Query vectors that are broadcast together.
+QUERIES_AT_ONCE = 20_000
 
 
 def postings(docs: DataFrame, doc: str, text: str, group: list[str] | None = None) -> DataFrame:
@@ -101,23 +103,15 @@ def unit(v: Column) -> Column:
 def dense_top(queries: DataFrame, query: str, vectors: DataFrame, doc: str, vector: str, k: int) -> DataFrame:
     """query, doc, score, rank: the k nearest vectors of each query by cosine, ties by doc; the query's own row is left out.
 
-    The query vectors are taken in Arrow batches against batches of all vectors: a block of queries is multiplied with a
-    batch as matrices, and only each batch's own best k per query go on, so nothing of the size of queries x vectors is
-    ever shuffled.
+    A block of query vectors of bounded size is broadcast at a time and multiplied with Arrow batches of all vectors; only each
+    batch's own best k per query go on, so nothing of the size of queries x vectors is ever shuffled. With several blocks
+    each one's part is written before the next is gathered.
     """
     import numpy as np
     import pyarrow as pa
 
     asked = queries.select(F.col(query).cast("long").alias("query"), F.col(vector).alias("v")).where("v is not null")
     spark = vectors.sparkSession
-    blocks = []
-    block: list = []
-    for row in asked.toLocalIterator():  # the query set, a block of bounded size at a time
-        block.append((row["query"], row["v"]))
-        if len(block) == 20_000:
-            blocks, block = [*blocks, block], []
-    if block:
-        blocks.append(block)
     rows = vectors.select(F.col(doc).cast("long").alias("doc"), F.col(vector).alias("v")).where("v is not null")
     schema = "query long, doc long, score double"
 
@@ -126,7 +120,7 @@ def dense_top(queries: DataFrame, query: str, vectors: DataFrame, doc: str, vect
         norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
         return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
-    def against(block: list) -> DataFrame:
+    def against(block: list) -> tuple[DataFrame, object]:
         shared = spark.sparkContext.broadcast((np.array([q for q, _ in block], np.int64), lengthened(np.array([v for _, v in block]))))
 
         def run(batches):
@@ -144,12 +138,18 @@ def dense_top(queries: DataFrame, query: str, vectors: DataFrame, doc: str, vect
                 if len(at):
                     yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(docs[who]), pa.array(scores[at, who])], names=["query", "doc", "score"])
 
-        return rows.mapInArrow(run, schema)
+        return rows.mapInArrow(run, schema), shared
 
-    parts = [against(b) for b in blocks] or [spark.createDataFrame([], schema)]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
+    whole, block = None, []
+    for row in asked.toLocalIterator():
+        if len(block) == QUERIES_AT_ONCE:  # there are more: this block's part is written, and nothing of it stays on the driver
+            part, shared = against(block)
+            part, block = cut(part), []
+            shared.destroy()
+            whole = part if whole is None else whole.unionByName(part)
+        block.append((row["query"], row["v"]))
+    last = against(block)[0] if block else spark.createDataFrame([], schema)
+    whole = last if whole is None else whole.unionByName(last)
     return top(whole, k, ["query"], [F.desc("score"), F.col("doc")])
 
 

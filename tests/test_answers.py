@@ -1,8 +1,12 @@
 import itertools
+import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from quirework.operators import rank
+from quirework.operators.shortlists import source_owners
 from quirework.operators.answers import _by_paths, _by_sets, agreed, assemble, assign, choose_options, consensus, fill_nulls, missing_rows, route_rows, tolerant
 from quirework.operators.evidence import emit, object_label, quote_on_page, resolve_quotes, value_in
 from quirework.operators.score import cells_match, set_scores
@@ -141,3 +145,33 @@ def test_scores(spark):
     assert {r["q"]: (r["precision"], r["recall"], r["f1"]) for r in set_scores(g, p, "q", "k").collect()} == {"q": (0.5, 0.5, 0.5), "r": (0.0, 0.0, 0.0)}
     c = spark.createDataFrame([("1.0", "1"), (" A", "a "), (None, None), (None, "x"), ("2", "3")], "g string, s string")
     assert [r[0] for r in c.select(cells_match(F.col("g"), F.col("s"))).collect()] == [True, True, True, False, False]
+
+
+def test_dense_blocks(spark, monkeypatch):
+    """The same neighbours however many queries are broadcast together."""
+    rng = random.Random(6)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(60)] + [(60, [0.0] * 4), (61, None)]
+    df = spark.createDataFrame(rows, "i long, v array<double>")
+    found = []
+    for most in (20_000, 7):
+        monkeypatch.setattr(rank, "QUERIES_AT_ONCE", most)
+        found.append(sorted(map(tuple, rank.dense_top(df, "i", df, "i", "v", 3).collect())))
+    assert found[0] == found[1] and len(found[0]) == 61 * 3
+    assert not rank.dense_top(df.limit(0), "i", df, "i", "v", 3).collect()
+
+
+def test_lexical_statistics(spark):
+    """Small and large sets of asked terms, documents in several rows, and documents without any asked term."""
+    docs = spark.createDataFrame([("a", "graph nets"), ("a", "graph"), ("b", "other words entirely"), ("c", None), ("d", "graph words")], "d string, t string")
+    asked = spark.createDataFrame([("q", "graph"), ("r", None), ("s", "nothing here")], "q string, t string")
+    got = {(r["query"], r["doc"]): r["score"] for r in rank.bm25(asked, "q", "t", docs, "d", "t").collect()}
+    n, avg, df = 4, (3 + 3 + 0 + 2) / 4, 2
+    score = lambda tf, dl: math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avg))
+    assert got == {("q", "a"): pytest.approx(score(2, 3)), ("q", "d"): pytest.approx(score(1, 2))}
+
+
+def test_owners_of_sources(spark):
+    papers = spark.createDataFrame([("p1", "FastNet: a method"), ("p2", "Graph Nets for all"), ("p3", "Twice Told: one"), ("p4", "Twice Told: two"), ("p5", None)], "paper_id string, title string")
+    cases = {"a": "What does FastNet report on it?", "b": "Is it better in FastNet than FastNet?", "c": "according to Graph Nets for all, why?", "d": "in Twice Told, what?", "e": "fastnet reports it", "f": None, "g": "We like FastNet"}
+    rows = spark.createDataFrame(list(cases.items()), "query_id string, question string")
+    assert {r["query_id"]: r["paper_id"] for r in source_owners(rows, papers).collect()} == {"a": "p1", "c": "p2"}
