@@ -20,7 +20,7 @@ from ..cluster import parallelism
 
 _FOREVER = np.iinfo(np.int64).max
 #: References that one task should get, and parents that one range should hold.
-REFERENCES_PER_TASK = 2_000_000
+REFERENCES_PER_TASK, PARENTS_PER_RANGE = 2_000_000, 250_000
 
 
 def clean_key(key):

@@ -72,7 +72,7 @@ def alias_resolve(spark: SparkSession, folder: str) -> DataFrame:
     pool = _pool(spark, folder)
     aliases = N.title_aliases(pool)
     asked = aliases.select(F.lower("alias").alias("name")).distinct()
-    return N.resolve_aliases(asked, "name", aliases, N.alias_scope(aliases, pool.agg(F.count("*").alias("n")))).where("rank <= 20")
+    return N.resolve_aliases(asked, "name", aliases, N.alias_scope(aliases, pool.agg(F.count("*").alias("n"))))
 
 
 def _mentions(spark: SparkSession, folder: str) -> DataFrame:
@@ -205,7 +205,7 @@ SQL = {
     "recurring_names": "WITH t AS (SELECT paper_id, unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9]*')) AS alias FROM documents WHERE paper_id IS NOT NULL) SELECT paper_id, alias, count(*) AS n FROM t WHERE regexp_matches(alias, '[a-z]') AND regexp_matches(alias, '[A-Z]') GROUP BY ALL HAVING count(*) >= 3",
     "alias_scope": f"WITH {_POOL}, {_ALIASES} SELECT alias_key, df, scope FROM scopes",
     "alias_resolve": f"""WITH {_POOL}, {_ALIASES}, names AS (SELECT DISTINCT lower(alias) AS name FROM aliases), met AS (SELECT DISTINCT name, paper_id, scope, df FROM names JOIN aliases a ON a.alias_key = {sql.alias_key('name')} JOIN scopes s ON s.alias_key = a.alias_key),
-        r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY scope = 'generic', df, paper_id) AS rank FROM met) SELECT name, paper_id, scope, df, rank FROM r WHERE rank <= 20""",
+        r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY scope = 'generic', df, paper_id) AS rank FROM met) SELECT name, paper_id, scope, df, rank FROM r""",
     "paper_mentions": f"WITH {_MENTIONS} SELECT paper_id, mention_key, mention, source_type, page, support_text FROM mentions",
     "resolver_cascade": f"WITH {_RESOLVE} SELECT mention, target, confidence, how FROM resolved",
     "paper_relations": f"WITH {_RESOLVE} SELECT * FROM edges",

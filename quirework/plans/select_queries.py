@@ -100,8 +100,7 @@ def constraint_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 def answer_bearing_rescue(spark: SparkSession, folder: str) -> DataFrame:
     evidence = _evidence(spark, folder)
-    terse = _constraints(spark, folder).withColumn("k", F.row_number().over(S.Window.partitionBy("query_id").orderBy(F.desc(F.length("surface")), "surface"))).where("k <= 4")
-    return S.answer_bearing(S.constraint_coverage(evidence, terse), evidence.where("position = 0").select("query_id", "paper_id"))
+    return S.answer_bearing(S.constraint_coverage(evidence, _constraints(spark, folder)), evidence.where("position = 0").select("query_id", "paper_id"))
 
 
 def clause_owner_margin(spark: SparkSession, folder: str) -> DataFrame:
@@ -155,8 +154,7 @@ _PLACED = f"""{_BASE}, h AS (SELECT query_id, paper_id, bool_or(s.route = 'prope
     placed AS (SELECT query_id, paper_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN p THEN 0 ELSE 1 END, position) AS place FROM merged LEFT JOIN h USING (query_id, paper_id))"""
 _EVIDENCE = f"""{_BASE}, e AS (SELECT query_id, paper_id, string_agg(array_to_string(list_transform(support, lambda x: x.text), ' '), ' ' ORDER BY row_id) AS evidence FROM c GROUP BY ALL),
     ev AS (SELECT m.query_id, m.paper_id, position, evidence, question FROM merged m JOIN e USING (query_id, paper_id) JOIN questions USING (query_id)),
-    k AS (SELECT DISTINCT query_id, unnest({sql.terms('question')}) AS surface FROM questions),
-    four AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY length(surface) DESC, surface) AS n FROM k) WHERE n <= 4)"""
+    k AS (SELECT DISTINCT query_id, unnest({sql.terms('question')}) AS surface FROM questions)"""
 _COVER = "SELECT ev.query_id, ev.paper_id, ev.position, count(k.surface) AS n_constraints, count(*) FILTER (contains({e}, ' ' || k.surface || ' ')) AS matched, max(len(list_intersect({q}, {t}))) AS token_hits FROM ev LEFT JOIN {src} k ON k.query_id = ev.query_id GROUP BY ALL"
 _COVERAGE = {"e": sql.sequence_text("evidence"), "q": sql.terms("question"), "t": sql.terms("evidence")}
 SQL = {
@@ -180,7 +178,7 @@ SQL = {
     "cardinality_cap": f"""WITH {_PLACED} SELECT query_id, paper_id, place FROM placed LEFT JOIN questions q USING (query_id)
         WHERE coalesce(place <= coalesce(CASE WHEN list_contains(answer_types, 'multiple_choice') THEN 1 END, CASE WHEN list_contains(answer_types, 'table') THEN 3 END), TRUE)""",
     "constraint_coverage": f"WITH {_EVIDENCE} {_COVER.format(**_COVERAGE, src='k')}",
-    "answer_bearing_rescue": f"""WITH {_EVIDENCE}, cov AS ({_COVER.format(**_COVERAGE, src='four')}),
+    "answer_bearing_rescue": f"""WITH {_EVIDENCE}, cov AS ({_COVER.format(**_COVERAGE, src='k')}),
         best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, token_hits DESC, position, paper_id) AS n FROM cov) WHERE n = 1),
         own AS (SELECT * FROM cov WHERE position = 0),
         j AS (SELECT o.query_id, o.paper_id AS mine, b.paper_id AS best, coalesce(b.n_constraints >= 2 AND b.matched >= greatest(2, ceil(b.n_constraints / 2.0)) AND b.matched >= o.matched + 2 AND b.paper_id <> o.paper_id, FALSE) AS rescued FROM own o JOIN best b USING (query_id))

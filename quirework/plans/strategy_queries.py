@@ -38,9 +38,8 @@ def name_strategy(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def baseline_strategy(spark: SparkSession, folder: str) -> DataFrame:
-    """Around the first three candidates of each question."""
-    rows = table(spark, folder, "candidates").where("paper_id is not null").groupBy("query_id", "paper_id").agg(F.min("row_id").alias("first"))
-    anchors = rows.withColumn("n", F.row_number().over(Y.Window.partitionBy("query_id").orderBy("first"))).where("n <= 3").select("query_id", "paper_id")
+    """Around all candidates of each question."""
+    anchors = table(spark, folder, "candidates").where("paper_id is not null").select("query_id", "paper_id").distinct()
     return Y.baseline_strategy(anchors, paper_relations(spark, folder))
 
 
@@ -120,7 +119,7 @@ SQL = {
         u AS (SELECT query_id, name, paper_id, CASE WHEN kind IN ('exact', 'leading') THEN 0 ELSE 2 END AS tier, CASE WHEN kind = 'exact' THEN 0 ELSE 1 END AS at_, 'title_' || kind AS how FROM surfaces UNION ALL SELECT names.query_id, names.name, ar.paper_id, 1, rank, 'alias' FROM names JOIN ar USING (name)),
         b AS (SELECT query_id, name, paper_id, min({{a: tier, b: at_, c: how}}) AS b FROM u GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id, name ORDER BY b.a, b.b, paper_id) AS rank FROM b)
         SELECT query_id, name, paper_id, b.c AS how, rank FROM r WHERE rank <= 20""",
-    "baseline_strategy": f"""WITH {_RELATIONS}, f AS (SELECT query_id, paper_id, min(row_id) AS first FROM candidates WHERE paper_id IS NOT NULL GROUP BY ALL), an AS (SELECT query_id, paper_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first) AS n FROM f) WHERE n <= 3),
+    "baseline_strategy": f"""WITH {_RELATIONS}, an AS (SELECT DISTINCT query_id, paper_id FROM candidates WHERE paper_id IS NOT NULL),
         u AS (SELECT query_id, target_paper_id AS p, 0 AS d, relation_id FROM an JOIN edges ON source_paper_id = paper_id WHERE target_paper_id IS NOT NULL UNION ALL SELECT query_id, source_paper_id, 1, relation_id FROM an JOIN edges ON target_paper_id = paper_id),
         b AS (SELECT query_id, p, min({{d: d, r: relation_id}}) AS b FROM u GROUP BY ALL)
         SELECT query_id, p AS paper_id, CASE WHEN b.d = 0 THEN 'forward' ELSE 'reverse' END AS direction, row_number() OVER (PARTITION BY query_id ORDER BY b.d, b.r, p) - 1 AS rank FROM b""",
