@@ -168,10 +168,12 @@ def _fit(sentences: list[tuple[int, list[str]]], lexicon: frozenset[str], rounds
     return LanguageModel(weights, trans, lexicon)
 
 
-def fit(samples: list[tuple[str, str]], labelled: list[tuple[str, str]], rounds: int = 40, seed: int = 3) -> LanguageModel:
-    """A model from (language, sentence) pairs and from (language, document) pairs whose labels may be wrong."""
+def fit(samples: list[tuple[str, str]], labelled: list[tuple[str, str]], rounds: int = 40, seed: int = 3) -> LanguageModel | None:
+    """A model from (language, sentence) pairs and from (language, document) pairs whose labels may be wrong; without a sentence none."""
     first = frozenset(w for _, t in samples for w in _LETTERS(t) if w.islower())
     clean = [(LANGUAGES.index(lang), words) for lang, t in samples if lang in LANGUAGES and (words := _ordinary(t, first))]
+    if not clean:
+        return None
     model = _fit(clean, first, rounds, seed)
     parts = [(LANGUAGES.index(lang), p) for lang, t in labelled for p in paragraphs(t)]
     if not parts:
@@ -257,7 +259,7 @@ class Labeller:
         return out
 
 
-def fit_on(samples: DataFrame, docs: DataFrame, text: str, label: str, key: str, labelled: int = LABELLED) -> LanguageModel:
+def fit_on(samples: DataFrame, docs: DataFrame, text: str, label: str, key: str, labelled: int = LABELLED) -> LanguageModel | None:
     """The model of these sample sentences (lang, sample_text) and of at most `labelled` documents a language."""
     known = [(r[0], r[1]) for r in samples.where("sample_text is not null").select("lang", "sample_text").orderBy("sample_id").collect()]
     known = [(code, t) for lang, t in known if (code := named_language(lang))]
@@ -269,16 +271,20 @@ def fit_on(samples: DataFrame, docs: DataFrame, text: str, label: str, key: str,
     return fit(known, [(r["code"], r["text"]) for r in rows.orderBy("code", "n").collect()])
 
 
-def label_paragraphs(docs: DataFrame, model: LanguageModel, key: str, text: str, label: str) -> DataFrame:
+def label_paragraphs(docs: DataFrame, model: LanguageModel | None, key: str, text: str, label: str) -> DataFrame:
     """One row for each paragraph with an ordinary word: doc_id, para_no, lang, confidence, n_words, named.
 
     lang is the language of most of the paragraph's ordinary words, of equal ones the first by code; confidence its share of
     them, weighted by their probabilities; named the language that the document's label names, or null. Paragraphs are
     counted from 1, those without an ordinary word too. Null, empty and blank texts have none. Rows are labelled each,
-    repeated ones too; other columns are ignored.
+    repeated ones too; other columns are ignored. Without a model (there was no sample) no paragraph has a language, and the
+    result is empty.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[key].dataType.simpleString()
+    schema = f"doc_id {kind}, para_no int, lang string, confidence double, n_words int, named string"
+    if model is None:
+        return docs.sparkSession.createDataFrame([], schema)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shared.value)
@@ -296,7 +302,7 @@ def label_paragraphs(docs: DataFrame, model: LanguageModel, key: str, text: str,
             )
 
     rows = docs.select(docs[key].alias("doc_id"), docs[text].alias("text"), docs[label].alias("label")).where("text is not null")
-    return rows.mapInArrow(run, f"doc_id {kind}, para_no int, lang string, confidence double, n_words int, named string")
+    return rows.mapInArrow(run, schema)
 
 
 def label_documents(labelled: DataFrame) -> DataFrame:

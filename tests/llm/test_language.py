@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from quirework.llm.language import TABLE, _features, LANGUAGES, Labeller, fit, label_documents, label_paragraphs, marginals, named_language, paragraphs
+from quirework.llm.language import TABLE, _features, LANGUAGES, Labeller, fit, fit_on, label_documents, label_paragraphs, marginals, named_language, paragraphs
 
 SENTENCES = {
     "en": ["the results show that our model is better than the others", "we train it with more data and without labels", "this is what they found in the tables", "there are many open questions about these methods"],
@@ -90,3 +90,11 @@ def test_features_of_long_words():
     word = "datenschutzgrundverordnungsumsetzungsgesetz"
     last = [zlib.crc32(x.encode()) % TABLE for x in ("4etz$", "3tz$", "4setz")]
     assert set(last) <= set(_features(word)) and len(_features(word)) > 60
+
+
+def test_no_samples(spark):
+    docs = spark.createDataFrame([(1, "some words of a text", "en")], "d long, t string, l string")
+    samples = spark.createDataFrame([(1, "xx", "no known language"), (2, None, None)], "sample_id long, lang string, sample_text string")
+    for s in (samples, samples.limit(0)):
+        model = fit_on(s, docs, "t", "l", "d")
+        assert model is None and label_documents(label_paragraphs(docs, model, "d", "t", "l")).count() == 0
