@@ -1,8 +1,7 @@
 """Lexical, dense and fused ranking, for all queries at once.
 
 The inverted index is three tables: postings (doc, term, tf), document lengths and term weights. Statistics may span the
-collection, one group of it (a paper) or one candidate set: the group columns say which. Documents are read and
-split into terms once a query; terms that no query has never leave that scan, and ranks are cut to k before they are sorted.
+collection, one group of it (a paper) or one candidate set: the group columns say which. Ranks are cut to k before they are sorted in full.
 """
 
 from __future__ import annotations
@@ -53,38 +52,19 @@ def bm25(queries: DataFrame, query: str, query_text: str, docs: DataFrame, doc:
     """
     group = group or []
     wanted = queries.select(*group, F.col(query).alias("query"), F.explode(F.array_distinct(terms(query_text))).alias("term")).distinct()
-    asked = wanted.select(*group, "term").distinct()
-    base = cut(docs.select(*group, F.col(doc).alias("doc"), terms(text).alias("t")).select(*group, "doc", F.size("t").alias("dl"), F.filter("t", _filter_of(wanted)).alias("t")))
-    lengths = base.groupBy(*group, "doc").agg(F.sum("dl").alias("dl"))
-    size = lengths.groupBy(*group).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    found = base.select(*group, "doc", F.explode("t").alias("term")).groupBy(*group, "doc", "term").agg(F.count("*").alias("tf"))
-    found = found.join(asked, [*group, "term"], "left_semi")
-    # The size is one row (or one a group).
-    weight = document_frequency(found, group)
+    post = postings(docs, doc, text, group)
+    size = collection_size(docs, doc, text, group)
+    weight = document_frequency(post, group)
+    # Only terms that are asked for; the size is one row (or one a group).
+    weight = weight.join(wanted.select(*group, "term").distinct(), [*group, "term"], "left_semi")
     weight = weight.join(size, group) if group else weight.crossJoin(F.broadcast(size))
     weight = weight.select(*group, "term", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))
     tf, length = F.col("tf"), F.col("dl") / F.col("avgdl")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length))
-    scored = found.join(lengths, [*group, "doc"]).join(weight, [*group, "term"]).select(*group, "term", "doc", part.alias("part"))
+    scored = post.join(weight, [*group, "term"]).select(*group, "term", "doc", part.alias("part"))
     return scored.join(wanted, [*group, "term"]).groupBy(*group, "query", "doc").agg(F.round(F.sum("part"), 9).alias("score"))
 
 
-def _filter_of(wanted: DataFrame, bits: int = 1 << 20):
-    """A test of terms: false only for terms that `wanted` does not have. A bitmap of fixed size; the joins that follow are exact."""
-    at = F.xxhash64("term").bitwiseAND(bits - 1)
-    rows = wanted.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("place")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("word")).collect()
-    words = [0] * (bits >> 6)
-    for r in rows:
-        words[r["place"]] = r["word"]
-    table = F.lit(words).cast("array<bigint>")  # small numbers alone would be taken for integers of 32 bits
-
-    def test(term: Column) -> Column:
-        h = F.xxhash64(term).bitwiseAND(bits - 1)
-        return F.getbit(F.get(table, F.shiftright(h, 6).cast("int")), h.bitwiseAND(63).cast("int")) == 1
-
-    return test
-
-
 def top(ranked: DataFrame, k: int, by: list[str], order: list[Column], rank: str = "rank") -> DataFrame:
     """The first k rows of each group, numbered from 1 in this order, which must leave no ties."""
     return ranked.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= k)
