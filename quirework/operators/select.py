@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..cluster import parallelism
 from ..functions.text import contains_words, sequence_text, terms, venue_of, year_of
 
 GATE_RELATION, GATE_VALUE = 0.95, 0.90
+#: What a term of a phrase in a paper's title is worth; papers that phrases are scored against at once.
+TITLE_WORTH, PAPERS_AT_ONCE = 4, 32_768
 
 
 def merge_routes(rows: DataFrame, order: str = "row_id") -> DataFrame:
@@ -133,18 +136,99 @@ def clause_owners(phrases: DataFrame, papers: DataFrame, present: DataFrame) ->
 
     phrases: phrase_id, query_id, words (array of distinct terms); papers: paper_id, title, abstract; present: query_id,
     paper_id. A term in the title is worth 4, in the abstract alone 1. The best paper must have 65 % of the terms (three at
-    least), two of them in its title or four in all, lead by two, and be a candidate already. Only papers that share a term
-    are met, through the term.
+    least), two of them in its title or four in all, lead by two, and be a candidate already.
     """
-    asked = phrases.select("phrase_id", "query_id", F.size("words").alias("n"), F.explode("words").alias("term"))
-    docs = papers.select("paper_id", F.array_distinct(terms("title")).alias("t"), F.array_distinct(terms(F.concat_ws(" ", "title", "abstract"))).alias("d"))
-    postings = docs.select("paper_id", F.explode("d").alias("term"), "t").select("paper_id", "term", F.array_contains("t", F.col("term")).alias("in_title"))
-    hits = asked.join(postings, "term").groupBy("phrase_id", "query_id", "n", "paper_id").agg(F.count_if("in_title").alias("title_hits"), F.count("*").alias("hits"))
-    hits = hits.withColumn("score", 3 * F.col("title_hits") + F.col("hits"))
-    order = Window.partitionBy("phrase_id").orderBy(F.desc("score"), "paper_id")
-    best = hits.withColumn("runner_up", F.coalesce(F.lead("score").over(order), F.lit(0))).withColumn("place", F.row_number().over(order)).where("place = 1")
+    # Phrases of the same terms meet the papers once; all of them stream past blocks of papers, whose scores are rows of bytes.
+    asked = phrases.withColumn("words", F.array_sort("words")).where("size(words) > 0")
+    spark = papers.sparkSession
+    blocks = max(1, -(-papers.count() // PAPERS_AT_ONCE))
+    slices = max(1, -(-parallelism(spark) // blocks))
+    title, d = F.array_distinct(terms("title")), F.array_distinct(terms(F.concat_ws(" ", "title", "abstract")))
+    # Bound as a lambda's argument, and made by a generator, the terms are found once a paper.
+    weighed = F.transform(F.array(F.struct(title.alias("t"), d.alias("d"))), lambda s: F.struct(s["d"].alias("words"), F.transform(s["d"], lambda w: F.when(F.array_contains(s["t"], w), TITLE_WORTH).otherwise(1).cast("tinyint")).alias("worth")))
+    docs = papers.select("paper_id", F.inline(weighed))
+    docs = docs.select(F.pmod(F.xxhash64("paper_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(0).alias("kind"), "paper_id", "words", "worth")
+    each = asked.select("words").distinct().select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("words"), F.lit(slices)).cast("int").alias("slice"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("paper_id"), "words", F.lit(None).cast("array<tinyint>").alias("worth"))
+    rows = docs.unionByName(each).repartition(blocks * slices, "block", "slice").sortWithinPartitions("block", "slice", "kind")
+    met = rows.mapInArrow(_best_of_blocks, "words array<string>, score int, paper_id string, title_hits int, hits int, second int")
+    # The runner-up is the second of the blocks' best, or the second of a block.
+    best = met.groupBy("words").agg(F.max(F.struct("score", "paper_id", "title_hits", "hits")).alias("b"), F.sort_array(F.collect_list("score"), asc=False).alias("s"), F.max("second").alias("second"))
+    best = best.select("words", F.size("words").alias("n"), "b.*", F.greatest("second", F.coalesce(F.get("s", F.lit(1)), F.lit(0))).cast("long").alias("runner_up")).withColumn("score", F.col("score").cast("long"))
     sure = best.where((F.col("hits") >= F.greatest(F.lit(3), F.ceil(F.col("n") * 0.65))) & ((F.col("title_hits") >= 2) | (F.col("hits") >= 4)) & (F.col("score") - F.col("runner_up") >= 2))
-    return sure.join(present.select("query_id", "paper_id").distinct(), ["query_id", "paper_id"], "left_semi").select("phrase_id", "query_id", "paper_id", "score", "runner_up")
+    told = asked.select("phrase_id", "query_id", "words").join(sure, "words")
+    return told.join(present.select("query_id", "paper_id").distinct(), ["query_id", "paper_id"], "left_semi").select("phrase_id", "query_id", "paper_id", "score", "runner_up")
+
+
+def _best_of_blocks(batches):
+    """Of each block of papers (kind 0: words, worth) and each phrase after it (kind 1: words) the best paper and the two best scores."""
+    import numpy as np
+    import pyarrow as pa
+
+    schema = pa.schema([("words", pa.list_(pa.string())), ("score", pa.int32()), ("paper_id", pa.string()), ("title_hits", pa.int32()), ("hits", pa.int32()), ("second", pa.int32())])
+    at, parts, index, out = None, [], None, []
+
+    def indexed():
+        """paper ids, and of each term either the worth of every paper, or (where few have it) the places and their worth."""
+        whole = pa.Table.from_batches(parts)
+        ids = whole.column("paper_id").to_pylist()
+        words, worth = whole.column("words").combine_chunks(), whole.column("worth").combine_chunks()
+        doc = np.repeat(np.arange(len(ids), dtype=np.int32), words.value_lengths().to_numpy(zero_copy_only=False))
+        coded = words.flatten().dictionary_encode()
+        codes, worth = coded.indices.to_numpy(zero_copy_only=False), worth.flatten().to_numpy(zero_copy_only=False).astype(np.uint8)
+        order = np.argsort(codes, kind="stable")
+        ends = np.searchsorted(codes[order], np.arange(len(coded.dictionary) + 1))
+        doc, worth, terms_ = doc[order], worth[order], {}
+        for k, term in enumerate(coded.dictionary.to_pylist()):
+            where, what = doc[ends[k] : ends[k + 1]], worth[ends[k] : ends[k + 1]]
+            if len(where) * 32 > len(ids):
+                row = np.zeros(len(ids), np.uint8)
+                row[where] = what
+                terms_[term] = row, None
+            else:
+                terms_[term] = what, where
+        return ids, terms_
+
+    for batch in batches:
+        block, kinds = list(zip(batch.column("block").to_pylist(), batch.column("slice").to_pylist())), batch.column("kind").to_numpy()
+        edges = [0, *[i for i in range(1, batch.num_rows) if block[i] != block[i - 1] or kinds[i] != kinds[i - 1]], batch.num_rows]
+        for i, j in zip(edges, edges[1:]):
+            if i == j:
+                continue
+            if block[i] != at:
+                at, parts, index = block[i], [], None
+            if kinds[i] == 0:
+                parts.append(batch.slice(i, j - i).select(["paper_id", "words", "worth"]))
+                continue
+            if not parts and index is None:
+                continue
+            if index is None:
+                index, parts = indexed(), []
+            ids, of = index
+            for words in batch.column("words").slice(i, j - i).to_pylist():
+                met = [of[w] for w in words if w in of]
+                if not met:
+                    continue
+                total = np.zeros(len(ids), np.uint8 if len(met) * TITLE_WORTH < 256 else np.int32)
+                for worth, where in met:
+                    if where is None:
+                        total += worth
+                    else:
+                        total[where] += worth
+                k = int(total.argmax())
+                first, own = int(total[k]), []
+                for worth, where in met:
+                    if where is None:
+                        own.append(int(worth[k]))
+                    else:
+                        p = int(np.searchsorted(where, k))
+                        own.append(int(worth[p]) if p < len(where) and where[p] == k else 0)
+                total[k] = 0
+                out.append((words, first, ids[k], sum(x == TITLE_WORTH for x in own), sum(x > 0 for x in own), int(total.max())))
+            if len(out) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
 
 def target_coverage(strengths: DataFrame) -> DataFrame:

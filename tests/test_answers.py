@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quirework.operators import rank
+from quirework.operators import rank, select
 from quirework.operators.shortlists import source_owners
 from quirework.operators.answers import _by_paths, _by_sets, agreed, assemble, assign, choose_options, consensus, fill_nulls, missing_rows, route_rows, tolerant
 from quirework.operators.evidence import emit, object_label, quote_on_page, resolve_quotes, value_in
@@ -175,3 +175,26 @@ def test_owners_of_sources(spark):
     cases = {"a": "What does FastNet report on it?", "b": "Is it better in FastNet than FastNet?", "c": "according to Graph Nets for all, why?", "d": "in Twice Told, what?", "e": "fastnet reports it", "f": None, "g": "We like FastNet"}
     rows = spark.createDataFrame(list(cases.items()), "query_id string, question string")
     assert {r["query_id"]: r["paper_id"] for r in source_owners(rows, papers).collect()} == {"a": "p1", "c": "p2"}
+
+
+def test_clause_owners_in_blocks(spark, monkeypatch):
+    """The same owners as by brute force, however many papers are scored at once; common terms make no pairs."""
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(30)]
+    papers = [(f"p{i:03}", " ".join(rng.sample(vocabulary[:12] if i % 2 else vocabulary, rng.randint(2, 7))), " ".join(rng.sample(vocabulary, rng.randint(0, 9)))) for i in range(120)] + [("n", None, None)]
+    phrases = [(f"f{i}", f"q{i % 3}", rng.sample((papers[i % 120][1] or "").split(), min(5, len(papers[i % 120][1].split())))) for i in range(150)] + [("none", "q0", []), ("long", "q0", vocabulary + [f"x{i}" for i in range(70)])]
+    present = [(f"q{k}", p) for k in range(3) for i, (p, _, _) in enumerate(papers) if i % 4 != k]
+    due = set()
+    for phrase, q, words in phrases:
+        scored = []
+        for p, title, abstract in papers:
+            t, d = set((title or "").split()), set(f"{title or ''} {abstract or ''}".split())
+            th, h = len(t & set(words)), len(d & set(words))
+            scored.append((-(3 * th + h), p, th, h))
+        (s, p, th, h), second = sorted(scored)[0], -sorted(scored)[1][0]
+        if words and h >= max(3, math.ceil(len(words) * 0.65)) and (th >= 2 or h >= 4) and -s - second >= 2 and (q, p) in present:
+            due.add((phrase, q, p, -s, second))
+    frames = spark.createDataFrame(phrases, "phrase_id string, query_id string, words array<string>"), spark.createDataFrame(papers, "paper_id string, title string, abstract string"), spark.createDataFrame(present, "query_id string, paper_id string")
+    for most in (32_768, 25):
+        monkeypatch.setattr(select, "PAPERS_AT_ONCE", most)
+        assert set(map(tuple, clause_owners(*frames).collect())) == due and due
