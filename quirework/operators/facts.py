@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..cluster import cut, parallelism
 from ..functions.text import contains_words, flat_text, number_or_null, sequence_text, within_one_edit
 from .answers import tolerant
 from .evidence import SOURCE_TYPES
@@ -15,6 +16,8 @@ SYNONYMS = {"iter": "iteration", "iters": "iteration", "iteration": "iteration",
 EXCLUSIVE = "cifar imagenet modelnet omnidata scifact hotpotqa nfcorpus climate sparc cosql".split()
 SCIENTIFIC_MARKS = list("^±×·/%°")
 SURE_OWNER = 9_000
+#: Sources of a paper that its keys are looked for in together.
+SOURCES_AT_ONCE = 4_096
 _NONE = "array<string>"
 
 
@@ -101,16 +104,70 @@ def attested_keys(expected: DataFrame, sources: DataFrame) -> DataFrame:
     """table, key: expected keys (arrays of parts) of which one source of the table's paper has all parts as words.
 
     expected: table, paper_id, key; sources: paper_id, text (a title or a page each). Keys without parts, or with empty ones, are
-    none. Keys are met through their first word, in the sources.
+    none. A key meets each block of its paper's sources once, as numbers whose bits are sources.
     """
     sound = expected.where("size(key) > 0").where(~F.exists("key", lambda p: flat_text(p) == "")).distinct()
     parts = F.transform("key", lambda p: sequence_text(p))
-    first = F.element_at(F.split(F.trim(F.get(parts, F.lit(0))), " "), 1)
-    asked = sound.select("table", "paper_id", "key", parts.alias("parts"), first.alias("word")).where("word <> ''")
+    asked = sound.select("paper_id", parts.alias("parts")).distinct().where("trim(parts[0]) <> ''")
     text = sources.where("paper_id is not null").select("paper_id", sequence_text("text").alias("s"))
-    words = text.select("paper_id", "s", F.explode(F.array_distinct(F.split(F.trim("s"), " "))).alias("word"))
-    met = asked.join(words, ["paper_id", "word"]).where(F.forall("parts", lambda p: F.col("s").contains(p)))
-    return met.select("table", "key").distinct()
+    sizes = text.groupBy("paper_id").agg(F.ceil(F.count("*") / SOURCES_AT_ONCE).cast("int").alias("blocks"))
+    asked = cut(asked.join(sizes, "paper_id"))
+    large = F.broadcast(asked.where("blocks > 1").select("paper_id", "blocks").distinct())
+    # Papers of more sources than a block's are parted, their keys go to each part; texts go through once, words never with a text.
+    spread = F.pmod(F.xxhash64("s"), F.coalesce("blocks", F.lit(1))).cast("int")
+    blocks = text.join(asked.select("paper_id").distinct(), "paper_id", "left_semi").join(large, "paper_id", "left").select("paper_id", spread.alias("block"), F.lit(1).alias("kind"), F.lit(None).cast("array<string>").alias("parts"), "s")
+    keys = asked.select("paper_id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("kind"), "parts", F.lit(None).cast("string").alias("s"))
+    rows = keys.unionByName(blocks).repartition(parallelism(sources.sparkSession), "paper_id", "block").sortWithinPartitions("paper_id", "block", "kind")
+    found = rows.mapInArrow(_attested, "paper_id string, parts array<string>").distinct()
+    return sound.select("table", "paper_id", "key", parts.alias("parts")).join(found, ["paper_id", "parts"]).select("table", "key").distinct()
+
+
+def _attested(batches):
+    """Of rows by paper, block and kind (0: parts of a key, 1: a source) the keys of which a source has all parts."""
+    import pyarrow as pa
+
+    schema = pa.schema([("paper_id", pa.string()), ("parts", pa.list_(pa.string()))])
+    at, keys, texts, out = None, [], {}, []
+
+    def settle():
+        """Places of texts as bits of numbers, one number a word that is asked for."""
+        words = {w for parts in keys for p in parts for w in p.split()}
+        of = dict.fromkeys(words, 0)
+        for i, s in enumerate(texts):
+            for w in words.intersection(s.split()):
+                of[w] |= 1 << i
+        whole = list(texts)
+        for parts in keys:
+            left = -1
+            for p in parts:
+                for w in p.split():
+                    left &= of[w]
+            if left == -1:  # parts without words are in every text
+                left = (1 << len(texts)) - 1
+            longer = [p for p in parts if p.strip().count(" ") or not p.strip()]
+            while left and longer and not all(p in whole[(left & -left).bit_length() - 1] for p in longer):
+                left &= left - 1
+            if left:
+                out.append((at[0], parts))
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+    for batch in batches:
+        for paper, block, kind, parts, s in zip(*(batch.column(c).to_pylist() for c in ("paper_id", "block", "kind", "parts", "s"))):
+            if (paper, block) != at:
+                settle()
+                at, keys, texts = (paper, block), [], {}
+            if kind == 0:
+                keys.append(parts)
+            elif keys:
+                texts[s] = None  # equal ones once
+        if len(out) >= 10_000:
+            yield batch_of(out)
+            out.clear()
+    settle()
+    if out:
+        yield batch_of(out)
 
 
 def visual_locators(evidence: DataFrame, most: int = 3) -> DataFrame:
