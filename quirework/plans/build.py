@@ -59,14 +59,17 @@ def relation_records(objects: DataFrame, passages: DataFrame, papers: DataFrame)
     return edges.drop("source_type").join(best, ["source_paper_id", "mention"]).select("relation_id", "source_paper_id", "target_paper_id", "mention", "support", "confidence", "resolution_status")
 
 
-def build_indexes(pages: DataFrame, papers: DataFrame, folder: str) -> dict[str, DataFrame]:
-    """Writes all stores under the folder and opens them. pages: paper_id, page, text; papers: paper_id, title, abstract.
+def build_indexes(pages: DataFrame, papers: DataFrame, folder: str, names: list[str] | None = None) -> dict[str, DataFrame]:
+    """Writes all stores, or those named and what they are made of, under the folder and opens them. pages: paper_id, page, text; papers: paper_id, title, abstract.
 
     Pages without a paper or a number are left out, pages of the same number are put together in no other order than their
     texts'. A folder that has a store already is refused before anything is written.
     """
     spark = papers.sparkSession
     sc = spark.sparkContext
+    names = list(names or STORES)
+    if unknown := set(names) - STORES.keys():
+        raise KeyError(f"no stores {sorted(unknown)}")
     for name in STORES:
         at = sc._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
         if at.getFileSystem(sc._jsc.hadoopConfiguration()).exists(at):
@@ -75,11 +78,14 @@ def build_indexes(pages: DataFrame, papers: DataFrame, folder: str) -> dict[str,
     lines = C.page_lines(p, ["paper_id", "page"], "text")
     made = {"passages": passage_records(p, C.sections(lines).select("paper_id", "page", "line_no", "kind")), "objects": object_records(lines)}
     for name, df in made.items():
-        _write(df, name, folder)
-    opened = load_indexes(spark, folder, ["passages", "objects"])
-    _write(alias_records(p, papers), "aliases", folder)
-    _write(relation_records(opened["objects"], opened["passages"], papers), "relations", folder)
-    return load_indexes(spark, folder)
+        if name in names or "relations" in names:
+            _write(df, name, folder)
+    if "aliases" in names:
+        _write(alias_records(p, papers), "aliases", folder)
+    if "relations" in names:
+        opened = load_indexes(spark, folder, ["passages", "objects"])
+        _write(relation_records(opened["objects"], opened["passages"], papers), "relations", folder)
+    return load_indexes(spark, folder, names)
 
 
 def _write(records: DataFrame, name: str, folder: str) -> None:

@@ -54,3 +54,13 @@ def test_backends(spark):
     assert list(given) == ["s"] and [r["paper_id"] for r in given["s"].collect()] == ["a"]
     accepted = spark.createDataFrame([("q1", "a", 0.5)], "query_id string, paper_id string, confidence double")
     assert backends.POLICIES["gate"](rows, accepted).count() == 1 and backends.POLICIES["rank"](rows, accepted).count() == 2
+
+
+def test_only_the_store_that_is_asked_for(spark, tmp_path):
+    pages = spark.createDataFrame([("p1", 1, "Table 1: GGN against OldNet")], "paper_id string, page int, text string")
+    papers = spark.createDataFrame([("p1", "FastGGN: parsing with graphs", "about it")], "paper_id string, title string, abstract string")
+    stores = build_indexes(pages, papers, f"file://{tmp_path}/x", ["objects"])
+    assert list(stores) == ["objects"] and stores["objects"].count() == 1
+    assert [p.name for p in (tmp_path / "x").iterdir()] == ["objects"]
+    with pytest.raises(KeyError):
+        build_indexes(pages, papers, f"file://{tmp_path}/y", ["objects", "things"])
