@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..cluster import cut
 from ..functions.text import contains_words, sequence_text
 from .evidence import match_text
 
@@ -135,15 +136,40 @@ def informative(text: Column) -> Column:
 def target_of(names: DataFrame, targets: DataFrame) -> DataFrame:
     """query_id, name, key, role: the first target that a name is, holds, or is held by, as whole words; else the name itself.
 
-    names: query_id, name; targets: query_id, seq, key, text, role.
+    names: query_id, name; targets: query_id, seq, key, text, role. Both are short: the runs of their words are looked up.
     """
-    t = targets.select("query_id", "seq", "key", "role", sequence_text("text").alias("t"))
-    n = names.select("query_id", "name", sequence_text("name").alias("n"))
-    met = n.join(t, "query_id").where((F.lower(F.trim("name")) == F.lower(F.trim("key"))) | contains_words(F.col("t"), F.col("n")) | contains_words(F.col("n"), F.col("t")))
-    best = met.groupBy("query_id", "name").agg(F.min(F.struct("seq", "key", "role")).alias("b"))
+    # Texts are compared once for all questions, by their runs of words; then each question's names and targets meet on equal texts.
+    first = F.min(F.struct("seq", "key", "role")).alias("b")
+    t = cut(targets.select("query_id", "seq", "key", "role", sequence_text("text").alias("t")))
+    n = cut(names.select("query_id", "name", sequence_text("name").alias("n")).distinct())
+    same = t.groupBy("query_id", F.lower(F.trim("key")).alias("k")).agg(first)
+    same = n.withColumn("k", F.lower(F.trim("name"))).join(same, ["query_id", "k"]).select("query_id", "name", "b")
+    texts = t.where("length(t) > 2").groupBy("query_id", "t").agg(first)
+    of_n, of_t = n.where("length(n) > 2").select("n").distinct(), texts.select("t").distinct()
+    inside = texts.join(_holding(of_t, "t", of_n, "n"), "t").groupBy("query_id", "n").agg(F.min("b").alias("b"))
+    around = n.select("query_id", "n").distinct().join(_holding(of_n, "n", of_t, "t"), "n").join(texts, ["query_id", "t"]).select("query_id", "n", "b")
+    fits = inside.unionByName(around).groupBy("query_id", "n").agg(F.min("b").alias("b"))
+    met = same.unionByName(n.join(fits, ["query_id", "n"]).select("query_id", "name", "b"))
+    best = met.groupBy("query_id", "name").agg(F.min("b").alias("b"))
     return names.select("query_id", "name").distinct().join(best, ["query_id", "name"], "left").select("query_id", "name", F.coalesce("b.key", F.trim("name")).alias("key"), F.coalesce("b.role", F.lit("target")).alias("role"))
 
 
+def _holding(wholes: DataFrame, whole: str, parts: DataFrame, part: str) -> DataFrame:
+    """whole, part: sequence texts, and those that they have as whole words; what is shuffled of their runs are numbers."""
+    runs = wholes.select(F.xxhash64(whole).alias("w"), F.explode(F.transform(_runs(whole), lambda r: F.xxhash64(r))).alias("p"))
+    numbered = parts.select(F.xxhash64(part).alias("p"), part)
+    met = runs.join(numbered.select("p"), "p", "left_semi").join(numbered, "p").join(wholes.select(F.xxhash64(whole).alias("w"), whole), "w")
+    return met.where(contains_words(F.col(whole), F.col(part))).select(whole, part).distinct()
+
+
+def _runs(text: str) -> Column:
+    """All runs of a sequence text's words, each as a sequence text, each once."""
+    words = F.split(F.trim(text), " ")
+    size = F.size(words)
+    run = lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda k: F.concat(F.lit(" "), F.array_join(F.slice(words, i, k), " "), F.lit(" ")))
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), size), run)))
+
+
 def name_support(named: DataFrame, aliases: DataFrame, passages: DataFrame, papers: DataFrame) -> DataFrame:
     """query_id, name, paper_id, how, text: what shows that a paper is meant by a name.
 
