@@ -1,11 +1,12 @@
 import itertools
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from quirework.operators import rank, select
+from quirework.operators import answers, rank, select
 from quirework.operators.shortlists import source_owners
 from quirework.operators.answers import _by_paths, _by_sets, agreed, assemble, assign, choose_options, consensus, fill_nulls, missing_rows, route_rows, tolerant
 from quirework.operators.evidence import emit, object_label, quote_on_page, resolve_quotes, value_in
@@ -107,6 +108,36 @@ def test_choices_and_routing(spark):
     assert {(r["key"], r["status"], r["paper_id"]) for r in route_rows(keys, papers).collect()} == {("Kelvea", "owned", "p1"), ("shared", "ambiguous", "p1"), ("shared", "ambiguous", "p2")}
 
 
+def test_routing_in_blocks(spark, monkeypatch):
+    """Keys of several words, acronyms, equal scores, keys that nothing has: by brute force, in blocks of few rows, texts apart from papers."""
+    monkeypatch.setattr(answers, "ROWS_OF_BLOCK", 50)
+    rng = random.Random(7)
+    words = ["self-trained", "Map", "of", "Öl", "nets", "x1", "graph", "KSW", "deep"]
+    some = lambda n: " ".join(rng.choices(words, k=n))
+    texts = [(f"p{i}", some(4), rng.choice(["KSW", "ofx1", "", None]), rng.choice([None, [], [some(3)], [some(2), None, some(2), "deep graph nets"]])) for i in range(25)]
+    pairs = sorted({(f"q{rng.randrange(4)}", f"p{rng.randrange(25)}") for _ in range(80)})
+    keys = [(f"q{rng.randrange(5)}", rng.choice([some(1), some(2), "of x1", "ksw", "nowhere", "-", "", None, "x1 graph, of"])) for _ in range(120)]
+    flat = lambda t: " " + " ".join(re.findall("[a-z0-9]+", (t or "").lower())) + " "
+    by_id, due = {t[0]: t for t in texts}, set()
+    for q, key in set(keys):
+        k, found = flat(key), []
+        for p in (p for r, p in pairs if r == q and key is not None):
+            _, title, acronym, pages = by_id[p]
+            places = [(title, 10_000), *zip(pages or [], (4_000, 2_500, 1_500))]
+            found.append((-max([0, *(x for t, x in places if len(k) > 2 and k in flat(t)), 9_000 * (len(k.replace(" ", "")) >= 3 and (acronym or "").lower() == k.replace(" ", ""))]), p))
+        found.sort()
+        score, second = (-x for x in ([f[0] for f in found] + [0, 0])[:2])
+        owned = score >= 1500 and score - second >= 500
+        due |= {(q, key, "owned" if owned else "ambiguous", p, -x) for x, p in (found[:1] if owned else found)}
+    k = spark.createDataFrame(keys, "query_id string, key string")
+    kind = "title string, acronym string, pages array<string>"
+    t, ids = spark.createDataFrame(texts, "paper_id string, " + kind), spark.createDataFrame(pairs, "query_id string, paper_id string")
+    for got in (answers.route_rows(k, ids, t), route_rows(k, ids.join(t, "paper_id"))):
+        rows = [(r["query_id"], r["key"], r["status"], r["paper_id"], r["score"]) for r in got.collect()]
+        assert len(rows) == len(due) and set(rows) == due
+    assert {"owned", "ambiguous"} == {d[2] for d in due} and len(due) > 200
+
+
 def test_evidence(spark):
     df = spark.createDataFrame([("Tab. 4", "table"), ("(6)", "equation_algorithm"), ("Table A1", "table"), ("4.1", "table"), ("Figure 2: words", "figure"), ("x", "text_span"), (None, "table"), ("Table 4.", "table"), ("Table 4. Results", "table"), ("Fig. 3b", "figure")], "r string, k string")
     assert [r[0] for r in df.select(object_label(F.col("r"), F.col("k"))).collect()] == ["Table 4", "Equation 6", "Table A1", "4.1", "Figure 2", None, None, "Table 4.", "Table 4. Results", "Figure 3b"]
